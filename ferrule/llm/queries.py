@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import decontaminate, exact_dedup, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_exact_dedup": exact_dedup.query,
+        "op7_histogram_sort": sharding.query,
+        "op9_decontaminate": decontaminate.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_exact_dedup": exact_dedup.SQL,
+        "op7_histogram_sort": sharding.SQL,
     }
