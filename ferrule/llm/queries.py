@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, sharding
+from . import decontaminate, exact_dedup, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_exact_dedup": exact_dedup.query,
         "op7_histogram_sort": sharding.query,
         "op9_decontaminate": decontaminate.query,
+        "op10_toxicity": toxicity.query,
     }
 
 
