@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, sharding, toxicity
+from . import decontaminate, exact_dedup, sharding, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_exact_dedup": exact_dedup.query,
+        "op3_simhash": simhash.query,
         "op7_histogram_sort": sharding.query,
         "op9_decontaminate": decontaminate.query,
         "op10_toxicity": toxicity.query,
