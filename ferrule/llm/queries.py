@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, sharding, simhash, toxicity
+from . import decontaminate, exact_dedup, license_scan, sharding, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_license_scan": license_scan.query,
         "op2_exact_dedup": exact_dedup.query,
         "op3_simhash": simhash.query,
         "op7_histogram_sort": sharding.query,
