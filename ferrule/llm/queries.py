@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, license_scan, sharding, simhash, token_counts, token_packing, toxicity, warc
+from . import decontaminate, exact_dedup, license_scan, mixture, sharding, simhash, token_counts, token_packing, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_exact_dedup": exact_dedup.query,
         "op3_simhash": simhash.query,
         "op4_warc": warc.query,
+        "op5_mixture_packing": mixture.query,
         "op6_token_packing": token_packing.query,
         "op7_histogram_sort": sharding.query,
         "op8_token_counts": token_counts.query,
