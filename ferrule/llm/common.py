@@ -82,5 +82,8 @@ def sized(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFr
 
 def without(docs: DataFrame, ids: DataFrame, row_bytes: int = 64) -> DataFrame:
     """The rows of docs whose doc_id isn't in ids(doc_id), a written table; those with a null id stay."""
-    gone = ids.select(F.col("doc_id").alias("__gone"))
-    return docs.join(sized(gone, row_bytes), docs["doc_id"] == F.col("__gone"), "left_anti")
+    name = "__gone"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    gone = ids.select(F.col("doc_id").alias(name))
+    return docs.join(sized(gone, row_bytes), docs["doc_id"] == F.col(name), "left_anti")

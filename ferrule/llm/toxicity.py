@@ -177,7 +177,9 @@ def toxic_ids(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """docs without the documents that are rather toxic than not, all columns as they were; a null text stays."""
-    return scored(docs, labels, "__toxicity", **how).where("coalesce(__toxicity, 0) <= 0.5").select(*[F.col(f"`{c}`") for c in docs.columns])
+    with_score = scored(docs, labels, **how)
+    score = F.coalesce(F.col(f"`{with_score.columns[-1]}`"), F.lit(0.0))
+    return with_score.where(score <= 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
