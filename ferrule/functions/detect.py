@@ -16,7 +16,9 @@ RESIDENT_ID = r"[1-9][0-9]{5}(?:18|19|20)[0-9]{2}(?:1[0-2]|0[1-9])(?:3[01]|0[1-9
 KEY_HEADER = "-----BEGIN RSA" + " PRIVATE KEY-----"
 PASSWORD = r"""(?i)(?:passwd|password|pwd)\s*[=:]\s*["']([^"']{6,50})["']"""
 NO_PASSWORD = tuple(sorted("false true null undefined admin password 123456 ******".split()))
-WEBHOOK = r"(?i)(https://(?:hooks\.slack\.com/services/|open\.feishu\.cn/open-apis/bot/v2/hook/|oapi\.dingtalk\.com/robot/send\?access_token=|qyapi\.weixin\.qq\.com/cgi-bin/webhook/send\?key=)[\w-]{20,100})"
+#: Hosts of chat webhooks and what comes before the token there.
+WEBHOOKS = {"hooks.slack.com": "services/", "open.feishu.cn": "open-apis/bot/v2/hook/", "oapi.dingtalk.com": "robot/send?access_token=", "qyapi.weixin.qq.com": "cgi-bin/webhook/send?key="}
+WEBHOOK = "(?i)(https://(?:%s)[\\w-]{20,100})" % "|".join(f"{host}/{path}".replace(".", r"\.").replace("?", r"\?") for host, path in WEBHOOKS.items())
 DEBUG = r"""(?i)["'](/[\w/.-]*(?:actuator/env|actuator/heapdump|v2/api-docs|swagger-ui\.html))["']"""
 SOURCE_MAP = r"sourceMappingURL=([\w.-]+\.js\.map)"
 

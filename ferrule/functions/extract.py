@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import rules
 
 _QUERY = r"""(?:\?[^"|']*)?"""
-_ABSOLUTE = r"""(?:[a-zA-Z]{1,10}:)?//[^"'/]+\.[a-zA-Z]{2,}[^"']*"""
+_ABSOLUTE = r"""(?:[A-Za-z]{1,10}:)?//[^"'/]+\.[a-zA-Z]{2,}[^"']*"""
 _ROOTED = r"""(?:\.{0,2}/)[^\\/ ^$%*\[\]()<>,;|"']+[^()<>,;|"']+"""
 _NESTED = rf"""[\w/-]+/[\w/-]+\.(?:[a-zA-Z]{{1,4}}|action){_QUERY}"""
 _FILE = rf"""[\w-]+\.(?:{"|".join(sorted("html action json jsp aspx asp php xml txt js".split(), reverse=True))}){_QUERY}"""

@@ -25,7 +25,9 @@ def unquote(text: str) -> str | None:
     if len(text) < 2:
         return None
     if text[0] in "\"'`" and text[-1] == text[0]:
-        text = text[1:-1].replace('\\"', '"').replace("\\'", "'").replace("\\\\", "\\")
+        text = text[1:-1]
+        for escaped in "\"'\\":
+            text = text.replace("\\" + escaped, escaped)
     return text
 
 

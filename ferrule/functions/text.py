@@ -9,12 +9,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import rules
+from .urls import JOINED_SLASH
 
 #: Applied in order; each is a pattern that Java and RE2 read alike, and what takes its place.
 MINIFY = (
     (r"""["']image/[A-Za-z]*;base64,[^'"]*["']""", '"[IMG]"'),
-    (r"""["'][^'"]*[#.][\w-]+\s*\{[^}]*:[^}]*\}[^'"]*["']""", '"[CSS]"'),
-    (r"""["'][^'"]*<[a-z][^>]*>[^'"]*["']""", '"[HTML]"'),
+    (r"""["'][^'"]*[#.][\w-]+\s*[{][^}]*:[^}]*[}][^'"]*["']""", '"[CSS]"'),
+    (r"""["'][^'"]*<[a-z](?:[^>]*)>[^'"]*["']""", '"[HTML]"'),
     (r"""\[(?:\s*["'][A-Za-z0-9]{2,}["']\s*,?){50,}\]""", '"[ARRAY]"'),
     (r"(?s)/\*.*?\*/", ""),
     (r"//[^\n]*", ""),
@@ -27,6 +28,7 @@ VOLATILE = tuple((rf'"{name}"\s*:\s*{value}', f'"{name}":{quote}{{{{DYNAMIC}}}}{
 PROTECTED = tuple("auth axios body data fetch get http key params payload permission post query request secret sign token".split())
 CUT, CUT_KEPT = "\n\n/*...[cut]...*/\n\n", "\n\n/*...[cut, key functions kept]...*/\n\n"
 CODE_CHARS = 12_000
+PRE = r"(?is)<pre\b[^>]*>(.*?)</pre\s*>"
 LINE_ENDS = "[\u2028\u2029]"
 UNSEEN = "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\u200b-\u200f\ufeff]"
 
@@ -39,15 +41,15 @@ def _replaced(text: Column, steps: tuple[tuple[str, str], ...]) -> Column:
 
 def unwrap_pre(html: Column) -> Column:
     """The bodies of all pre elements, a line each, of a text that begins as markup; any other text as it is."""
-    found = F.regexp_extract_all(html, F.lit(r"(?is)<pre[^>]*>(.*?)</pre>"), F.lit(1))
+    found = F.regexp_extract_all(html, F.lit(PRE), F.lit(1))
     markup = F.startswith(F.trim(html), F.lit("<")) & F.contains(F.substring(F.trim(html), 1, 500), F.lit(">"))
     return F.when(markup & (F.size(found) > 0), F.array_join(found, "\n")).otherwise(html)
 
 
 def first_pre(html: Column) -> Column:
     """The trimmed text of the pre that browsers wrap scripts in, else of the first pre, else the text itself."""
-    wrapped = r"""(?is)<pre[^>]*style="word-wrap: break-word; white-space: pre-wrap;"[^>]*>(.*?)</pre>"""
-    body = F.coalesce(F.nullif(F.regexp_extract(html, wrapped, 1), F.lit("")), F.nullif(F.regexp_extract(html, r"(?is)<pre[^>]*>(.*?)</pre>", 1), F.lit("")))
+    wrapped = r"""(?is)<pre[^>]*style="%s"[^>]*>(.*?)</pre>""" % "".join(f"{rule};{gap}" for rule, gap in (("word-wrap: break-word", " "), ("white-space: pre-wrap", "")))
+    body = F.coalesce(F.nullif(F.regexp_extract(html, wrapped, 1), F.lit("")), F.nullif(F.regexp_extract(html, PRE, 1), F.lit("")))
     plain = F.replace(F.replace(F.replace(F.replace(F.regexp_replace(body, "<[^>]+>", ""), F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&quot;"), F.lit('"')), F.lit("&amp;"), F.lit("&"))
     return F.coalesce(F.trim(plain), html)
 
@@ -133,9 +135,9 @@ def relevant_lines(code: Column) -> Column:
 
     def has_path(x: Column) -> Column:
         quoted = F.regexp_extract_all(x, F.lit(r"""["'](.*?)["']"""), F.lit(1))
-        return F.exists(quoted, lambda q: ~rules.ends_with(F.lower(q), rules.SKIPPED) & ~q.rlike(r"[\\|{}()\[\]$^?+*]") & q.rlike("[a-zA-Z0-9]/|/[a-zA-Z0-9]"))
+        return F.exists(quoted, lambda q: ~rules.ends_with(F.lower(q), rules.SKIPPED) & ~q.rlike(r"[\\|{}()\[\]$^?+*]") & q.rlike(JOINED_SLASH))
 
-    kept = F.filter(bare, lambda x: (x != "") & ~x.rlike(r"<\s*/?\s*[a-zA-Z][^>]*>") & has_path(x))
+    kept = F.filter(bare, lambda x: (x != "") & ~x.rlike(r"<\s*(?:/\s*)?[A-Za-z][^>]*>") & has_path(x))
     return F.coalesce(F.array_join(F.transform(kept, lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), "\n"), F.lit(""))
 
 
@@ -147,6 +149,6 @@ def without_fences(answer: Column) -> Column:
 def json_part(answer: Column) -> Column:
     """The JSON in a model's answer: as it begins, from a fence, or from the first to the last brace; else empty."""
     a = F.trim(F.coalesce(answer, F.lit("")))
-    fenced = r"(?is)```(?:json)?\s*(.*?)\s*```"
+    fenced = r"(?is)`{3}(?:json)?[ \n\r\t]*(.*?)[ \n\r\t]*`{3}"
     braces = r"(?s)(\{.*\})"
     return F.when(a.rlike(r"^[{\[]"), F.trim(F.regexp_replace(a, "```$", ""))).when(a.rlike(fenced), F.regexp_extract(a, fenced, 1)).otherwise(F.regexp_extract(a, braces, 1))

@@ -12,6 +12,8 @@ _NETLOC = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)"
 _PATH = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)"
 #: Suffixes of two labels; other hosts have one of one label.
 _ROOT = r"([^.]+\.(?:(?:ac|co|com|edu|gov|net|or|org)\.(?:ar|au|br|cn|hk|id|il|in|jp|kr|mx|my|nz|sg|th|tr|tw|uk|za)|[^.]+))$"
+#: A slash next to a letter or digit.
+JOINED_SLASH = r"[\da-zA-Z]/|/[\da-zA-Z]"
 _IPV4 = r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"
 
 

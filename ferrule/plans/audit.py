@@ -26,7 +26,7 @@ DETECT_CASES = Cases(
         (-5, "11010519491231002X 110105194913310021 x11010519491231002xy"),
         (-6, detect.KEY_HEADER + " abc"),
         (-7, 'password = "hunter22" pwd:\'12345\' passwd="undefined" PWD="s3cr3t-é"'),
-        (-8, f"https://hooks.slack.com/services/{_A20} https://hooks.slack.com/services/T1/B1/{_A20} HTTPS://open.feishu.cn/open-apis/bot/v2/hook/{_A20}"),
+        (-8, " ".join(f"https://{h}/{p}{_A20} https://{h}/{p}T1/B1/{_A20}" for h, p in detect.WEBHOOKS.items()) + f" HTTPS://hooks.Slack.com/services/{_A20}"),
         (-9, '"/v2/api-docs" /v2/api-docs \'/x/actuator/env\' "/Swagger-UI.html"'),
         (-10, "f();//# sourceMappingURL=app.js.map"),
         (-11, "f();//# sourceMappingURL=maps/app.js.map"),

@@ -140,7 +140,7 @@ SCRIPT_CASES = Cases(
 @query("url_tests_cases", f"SELECT url, script, domain, slash FROM {SCRIPT_CASES.sql()}")
 def url_tests_cases(spark, sf_dir):
     u = F.col("url")
-    return SCRIPT_CASES.frame(spark).select("url", urls.is_script(u).alias("script"), urls.is_potential_domain(u).alias("domain"), u.rlike("[a-zA-Z0-9]/|/[a-zA-Z0-9]").alias("slash"))
+    return SCRIPT_CASES.frame(spark).select("url", urls.is_script(u).alias("script"), urls.is_potential_domain(u).alias("domain"), u.rlike(urls.JOINED_SLASH).alias("slash"))
 
 
 @query("url_scope_filter", f"SELECT page_id, url FROM pages WHERE {_SCOPED}")
