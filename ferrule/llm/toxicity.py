@@ -22,23 +22,33 @@ from .textbytes import Words, mix, pieces
 MAX_TOXIC, MAX_UNLABELLED = 1500, 4500
 BITS = 18
 #: Word beginnings, in bytes, that are features beside whole words.
-STARTS = (4, 5, 6)
+STARTS = (3, 4, 5, 6, 7)
 #: Steps of the fit, their size, the weights' decay, and the documents that a feature must be in.
-STEPS, RATE, DECAY, MIN_ROWS = 150, 0.05, 1e-3, 5
+STEPS, RATE, DECAY, MIN_ROWS = 200, 0.05, 2e-4, 5
+#: Weight of the step back where the clean risk has gone below zero.
+BACK = 0.5
+#: Words that are added to each text's own when its rates are taken, so that a few words decide little.
+SMOOTH = 30
 _SALT = 0x5851F42D4C957F2D
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Feature and row of every word and word beginning of a piece, in row order, and the words in each row."""
+    """Feature and row of every word and word beginning of a piece, in row order, and the words in each row.
+
+    A word that only repeats the one before it isn't counted.
+    """
     w = Words(data, offsets)
     row = w.rows()
-    feature, owner = [(w.hash >> np.uint64(64 - BITS)).astype(np.int32)], [row]
+    new = np.ones(len(row), bool)
+    new[1:] = (w.hash[1:] != w.hash[:-1]) | (row[1:] != row[:-1])
+    start, end, row = w.start[new], w.end[new], row[new]
+    feature, owner = [(w.hash[new] >> np.uint64(64 - BITS)).astype(np.int32)], [row]
     for n in STARTS:
-        long = np.flatnonzero(w.end - w.start > n)
-        h = mix(w.between(w.start[long], w.start[long] + n) ^ np.uint64((_SALT * n) % 2**64))
+        long = np.flatnonzero(end - start > n)
+        h = mix(w.between(start[long], start[long] + n) ^ np.uint64((_SALT * n) % 2**64))
         feature.append((h >> np.uint64(64 - BITS)).astype(np.int32))
         owner.append(row[long])
-    return np.concatenate(feature), np.concatenate(owner), np.diff(w.of)
+    return np.concatenate(feature), np.concatenate(owner), np.bincount(row, minlength=len(offsets) - 1)
 
 
 def logits(texts: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray:
@@ -47,7 +57,7 @@ def logits(texts: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray:
     for lo, hi, data, offsets in pieces(texts):
         feature, owner, words = features(data, offsets)
         total = np.bincount(owner, weights[feature], hi - lo)
-        out[lo:hi] += 100 * total / np.maximum(words, 1)
+        out[lo:hi] += 100 * total / (words + SMOOTH)
     return out
 
 
@@ -59,7 +69,7 @@ def vectors(texts: pa.Array) -> Iterator[tuple[bytes, bytes]]:
         cut = np.searchsorted(key, np.arange(hi - lo + 1, dtype=np.int64) << BITS)
         for i in range(hi - lo):
             a, z = cut[i], cut[i + 1]
-            yield (key[a:z] & ((1 << BITS) - 1)).astype(np.int32).tobytes(), (100 * count[a:z] / max(words[i], 1)).astype(np.float32).tobytes()
+            yield (key[a:z] & ((1 << BITS) - 1)).astype(np.int32).tobytes(), (100 * count[a:z] / (words[i] + SMOOTH)).astype(np.float32).tobytes()
 
 
 class Rows:
@@ -101,7 +111,7 @@ def fit(toxic: Rows, unlabelled: Rows, prior: float, steps: int = STEPS) -> tupl
         if clean >= 0:
             gp, gu = prior * (sp - 1) / toxic.n - prior * sp / toxic.n, su / unlabelled.n
         else:  # step back from the noise that the clean risk has been fitted to
-            gp, gu = prior * sp / toxic.n, -su / unlabelled.n
+            gp, gu = prior * (sp - 1) / toxic.n + BACK * prior * sp / toxic.n, -BACK * su / unlabelled.n
         g = np.append(toxic.back(gp, len(used)) + unlabelled.back(gu, len(used)) + DECAY * w[:-1], gp.sum() + gu.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= RATE * min(1.0, 2 * (1 - step / steps) + 0.02) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
