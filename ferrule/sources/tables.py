@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import ship
+
 #: Schemas of the tables at rest.
 SCHEMAS = {
     "scan_results": "url string, domain string, path string, source_url string, scan_depth int, created_at timestamp",
@@ -18,9 +21,33 @@ SCHEMAS = {
 }
 
 
-def lines(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
-    """The lines of text files with single spaces; blank ones stay, as empty."""
-    raw = spark.read.option("encoding", encoding).option("header", "false").text(path) if encoding.lower() in ("utf-8", "utf8") else spark.read.option("encoding", encoding).option("sep", "\x00").option("quote", "").csv(path, schema="value string")
+def _decoded(data: bytes, encoding: str | None) -> str:
+    """Text of a file; without an encoding UTF-8 if its first 1000 bytes are that, else GB18030."""
+    if encoding is None:
+        try:
+            data[:1000].decode("utf-8")
+        except UnicodeDecodeError as e:
+            encoding = "utf-8" if e.start >= len(data[:1000]) - 3 else "gb18030"
+    return data.decode(encoding or "utf-8", "replace")
+
+
+def lines(spark: SparkSession, path: str, encoding: str | None = "utf-8") -> DataFrame:
+    """The lines of text files with single spaces; blank ones stay, as empty.
+
+    UTF-8 files are split and streamed. Of other encodings, or with None to tell by the first bytes, each file is
+    decoded whole: such lists are short.
+    """
+    if encoding and encoding.lower() in ("utf-8", "utf8"):
+        raw = spark.read.text(path)
+    else:
+
+        @F.pandas_udf("string")
+        def decode(content: pd.Series) -> pd.Series:
+            return content.map(lambda x: _decoded(x, encoding))
+
+        ship(spark)
+        whole = spark.read.format("binaryFile").load(path).select(decode("content").alias("text"))
+        raw = whole.select(F.explode(F.split(F.regexp_replace("text", r"\r?\n$", ""), r"\r?\n")).alias("value"))
     return raw.select(F.trim(F.regexp_replace(F.coalesce("value", F.lit("")), r"\s+", " ")).alias("line"))
 
 
