@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 #: Bytes up to which a measured side is broadcast; a larger one is shuffled.
 BROADCAST_BYTES = 32 << 20
 
+#: Bytes of an Arrow batch at most (a longer row is one of its own); a worker holds several copies of one.
+BATCH_BYTES = 16 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _shipped: set[str] = set()
 _own_dirs: dict[str, str] = {}
 
@@ -25,8 +29,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once in a session."""
+    """Send this package to the Python workers, once in a session, and hold batches of text to BATCH_BYTES."""
     context = spark.sparkContext
+    if int(spark.conf.get(_BATCH).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     if context.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parents[1]
