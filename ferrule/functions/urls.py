@@ -112,32 +112,47 @@ def resolve_dots(path_: Column) -> Column:
     return F.concat(F.array_join(keep, "/"), F.when(last.isin(".", ".."), "/").otherwise(""))
 
 
-def resolve(found: Column, base: Column) -> Column:
-    """The URL that a found text means on the page base, or null where it means none.
+def base_parts(base: Column) -> Column:
+    """What resolve needs of a page's URL, as a struct; with many links to a page it is taken once, before they are exploded."""
+    base = F.when(scheme(base) == "", F.concat(F.lit("https://"), base)).otherwise(base)
+    at = F.concat(scheme(base), F.lit("://"), netloc(base))
+    folder = F.concat(F.lit("/"), F.regexp_extract(path(base), r"^/?(.*/)?[^/]*$", 1))
+    return F.struct(scheme(base).alias("scheme"), at.alias("at"), F.regexp_replace(path(base), r"/+$", "").alias("own"), folder.alias("folder"), root_domain(base).alias("root"))
+
+
+def resolve(found: Column, base: Column, parts: Column | None = None) -> Column:
+    """The URL that a found text means on the page base, or null where it means none; see resolutions."""
+    return F.try_element_at(resolutions(found, base, parts), F.lit(1))
+
+
+def resolutions(found: Column, base: Column, parts: Column | None = None) -> Column:
+    """An array of the one URL that a found text means on the page base; empty where it means none.
 
     First match: a protocol-relative URL; a path from the root; a path with dots; an absolute URL; a text that looks
-    like a host; a relative path; anything else as a query. Null too where the text is a MIME type, short, has a
-    space, or is of a scheme that fetches nothing, and where check_url refuses the result.
+    like a host; a relative path; anything else as a query. Empty too where the text is a MIME type, short, has a
+    space, or is of a scheme that fetches nothing, and where the result is off the page's root domain or looks like a
+    static file. parts is base_parts(base) if a column has it already.
     """
-    base = F.when(scheme(base) == "", F.concat(F.lit("https://"), base)).otherwise(base)
-    at = F.concat(scheme(base), F.lit("://"), netloc(base))
-    own = F.regexp_replace(path(base), r"/+$", "")
+    p = base_parts(base) if parts is None else parts
     u = F.trim(F.replace(found, F.lit("\\"), F.lit("/")))
-    folder = F.concat(F.lit("/"), F.regexp_extract(path(base), r"^/?(.*/)?[^/]*$", 1))
     relative = F.regexp_extract(u, r"^([^?#]*)", 1)
-    joined = F.concat(at, resolve_dots(F.concat(folder, relative)), F.substr(u, F.length(relative) + 1))
+    joined = F.concat(p["at"], resolve_dots(F.concat(p["folder"], relative)), F.substr(u, F.length(relative) + 1))
     out = (
-        F.when(F.startswith(u, F.lit("//")), F.concat(scheme(base), F.lit(":"), u))
-        .when(F.startswith(u, F.lit("/")), F.concat(at, u))
+        F.when(F.startswith(u, F.lit("//")), F.concat(p["scheme"], F.lit(":"), u))
+        .when(F.startswith(u, F.lit("/")), F.concat(p["at"], u))
         .when(u.rlike(r"^\.\.?/"), joined)
         .when(u.rlike(r"^https?://"), u)
-        .when(is_potential_domain(u), F.concat(scheme(base), F.lit("://"), u, F.when(F.contains(u, F.lit("/")), "").otherwise("/")))
-        .when(F.contains(u, F.lit("/")), F.concat(at, own, F.lit("/"), F.regexp_replace(u, r"^/+", "")))
-        .otherwise(F.concat(at, F.when(own == "", "/").otherwise(own), F.lit("?"), u))
+        .when(is_potential_domain(u), F.concat(p["scheme"], F.lit("://"), u, F.when(F.contains(u, F.lit("/")), "").otherwise("/")))
+        .when(F.contains(u, F.lit("/")), F.concat(p["at"], p["own"], F.lit("/"), F.regexp_replace(u, r"^/+", "")))
+        .otherwise(F.concat(p["at"], F.when(p["own"] == "", "/").otherwise(p["own"]), F.lit("?"), u))
     )
-    out = collapse_slashes(out)
     usable = ~found.isin(*rules.SKIPPED_TYPES) & (F.length(found) > 5) & ~F.contains(found, F.lit(" ")) & ~u.rlike(r"^(?:javascript|mailto|tel|data):")
-    return F.when(usable & check_url(base, out), out)
+    # one element that is transformed and filtered: the long expression is evaluated once, however often it is asked about
+    return F.filter(F.transform(F.array(F.when(usable, out)), collapse_slashes), lambda x: x.isNotNull() & _stays(x, p["root"]))
+
+
+def _stays(url: Column, root: Column) -> Column:
+    return root_domain(url).eqNullSafe(root) & ~rules.holds(F.lower(path(url)), rules.SKIPPED)
 
 
 def check_url(base: Column, url: Column, allowed: list[str] | None = None) -> Column:

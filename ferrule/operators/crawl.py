@@ -55,10 +55,16 @@ def admitted(pages: DataFrame, roots: list[str], url: str = "url", html: str = "
     return pages.where(urls.in_scope(F.col(url), roots)).where(~F.col(status).eqNullSafe(404)).where((size >= MIN_PAGE_CHARS) & (size <= MAX_PAGE_CHARS))
 
 
-def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """source_url, link as found and resolved target (null where it leads nowhere) of each distinct link of each page."""
-    found = pages.select(F.col(url).alias("source_url"), F.explode(extract.links(F.col(html))).alias("link"))
-    return found.withColumn("target", urls.resolve(F.col("link"), F.col("source_url")))
+def link_edges(pages: DataFrame, url: str = "url", html: str = "html", leading: bool = False) -> DataFrame:
+    """source_url, link as found and resolved target (null where it leads nowhere) of each distinct link of each page.
+
+    With leading only links that lead somewhere: they come out of an explode, so no filter resolves them a second time.
+    """
+    parts = urls.base_parts(F.col(url)).alias("__parts")
+    found = pages.select(F.col(url).alias("source_url"), parts, F.explode(extract.links(F.col(html))).alias("link"))
+    way = urls.resolutions if leading else urls.resolve
+    target = way(F.col("link"), F.col("source_url"), F.col("__parts"))
+    return found.select("source_url", "link", (F.explode(target) if leading else target).alias("target"))
 
 
 def api_sources(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:

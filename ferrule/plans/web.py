@@ -54,7 +54,7 @@ def link_resolve(spark, sf_dir):
 
 @query("link_edges_by_host", f"SELECT {S.netloc('url')} AS host, {S.classify('target')} AS url_class, CAST(count(*) AS BIGINT) AS edges, CAST(count(DISTINCT target) AS BIGINT) AS targets FROM ({_EDGES}) WHERE target IS NOT NULL GROUP BY 1, 2")
 def link_edges_by_host(spark, sf_dir):
-    e = _edges(spark, sf_dir).where("target IS NOT NULL")
+    e = crawl.link_edges(read(spark, sf_dir, "pages"), leading=True)
     return e.groupBy(urls.netloc(F.col("source_url")).alias("host"), urls.classify(F.col("target")).alias("url_class")).agg(F.count("*").alias("edges"), F.count_distinct("target").alias("targets"))
 
 
