@@ -367,12 +367,18 @@ def findings_by_risk(spark, sf_dir):
     return findings.where(v, "risk_level", "High").select("js_url", "api_endpoint", "seq")
 
 
-@query("literal_contains_path", f"""WITH p AS (SELECT DISTINCT link AS api_path FROM ({_LINKS}) WHERE {S.api_path('link')} AND length(link) < 9), l AS (SELECT DISTINCT link AS literal FROM ({_LINKS}))
-    SELECT literal, arg_min(api_path, (length(api_path), api_path)) AS api_path FROM l JOIN p ON contains(literal, api_path) GROUP BY literal""")
+@query("literal_contains_path")
 def literal_contains_path(spark, sf_dir):
     links = read(spark, sf_dir, "pages").select(F.explode(extract.links(F.col("html"))).alias("literal"))
-    short = links.where(extract.is_api_path(F.col("literal")) & (F.length("literal") < 9)).select(F.col("literal").alias("api_path")).distinct()
-    return audit.containing(links, short.withColumn("rank", F.struct(F.length("api_path").alias("n"), "api_path")))
+    paths = links.where(extract.is_api_path(F.col("literal"))).select(F.col("literal").alias("api_path")).distinct()
+    return audit.containing(links, paths.withColumn("rank", F.struct(F.length("api_path").alias("n"), "api_path")))
+
+
+@query("literal_contains_short_path", f"""WITH p AS (SELECT DISTINCT link AS api_path FROM ({_LINKS}) WHERE {S.api_path('link')} AND length(link) < 9), l AS (SELECT DISTINCT link AS literal FROM ({_LINKS}))
+    SELECT literal, arg_min(api_path, (length(api_path), api_path)) AS api_path FROM l JOIN p ON contains(literal, api_path) GROUP BY literal""")
+def literal_contains_short_path(spark, sf_dir):
+    """Those of literal_contains_path whose path is short. Paths are ranked by length, so SQL can look for short ones only."""
+    return literal_contains_path(spark, sf_dir).where(F.length("api_path") < 9)
 
 
 @query("audit_candidates", f"SELECT link AS api_path, min(url) AS js_url FROM ({_LINKS}) WHERE length(trim(link)) >= 4 AND NOT regexp_matches(link, '^(?:http|//)') AND NOT {S.ends('lower(link)', rules.NOT_API)} AND NOT {S.blacklisted('link')} AND link NOT IN (SELECT link FROM ({_LINKS}) WHERE page_id < 20) GROUP BY link")
