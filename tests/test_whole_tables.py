@@ -49,3 +49,9 @@ def test_literal_contains_path_of_whole_table(spark):
     admitted = {r.link for r in one.where(extract.is_api_path(F.col("link"))).collect()}
     got = [(r.literal, r.api_path) for r in QUERIES["literal_contains_path"](spark, SF).collect()]
     assert set(got) == holding(links, admitted) and len(got) == len(set(got)) and any(len(p) >= 9 for _, p in got)
+
+
+def test_pre_unwrap_takes_pages_with_pre(spark, pages):
+    at = pages("<html><pre>a</pre> x <PRE class=k>b\nc</PRE></html>", "<p>none</p>", "x <pre>y</pre>", "  <html><body><pre></pre></body>")
+    got = {r.id: r.body for r in QUERIES["pre_unwrap"](spark, at).where("id >= 100").collect()}
+    assert got == {100: "a\nb\nc", 101: "<p>none</p>", 102: "x <pre>y</pre>", 103: ""}
