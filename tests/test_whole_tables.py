@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from ferrule.functions import extract
+from ferrule.operators import secrets
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 QUERIES = entry.queries()
@@ -55,3 +56,11 @@ def test_pre_unwrap_takes_pages_with_pre(spark, pages):
     at = pages("<html><pre>a</pre> x <PRE class=k>b\nc</PRE></html>", "<p>none</p>", "x <pre>y</pre>", "  <html><body><pre></pre></body>")
     got = {r.id: r.body for r in QUERIES["pre_unwrap"](spark, at).where("id >= 100").collect()}
     assert got == {100: "a\nb\nc", 101: "<p>none</p>", 102: "x <pre>y</pre>", 103: ""}
+
+
+def test_literals_of_long_texts_and_long_literals(spark):
+    token, short = "".join("aB3-xY9_"[k * k % 8] for k in range(700)), "aB3-xY9_qq"
+    rows = [(1, f"api_key = '{token}'"), (2, "x\n" * 600_000 + f"k = '{short}'"), (3, "'" + "z" * 1_000_001), (4, f"token = '{short}', '{token}'" + ", 'word00'" * 200_000)]
+    got = {(r.id, r.value): r.score for r in secrets.literals(spark.createDataFrame(rows, "id int, text string"), "id", "text").collect()}
+    assert set(got) == {(1, token), (2, short), (4, short), (4, token), (4, "word00")}
+    assert got[4, short] == pytest.approx(got[2, short] + 0.2) and got[1, token] == got[4, token]
