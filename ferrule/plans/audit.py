@@ -125,15 +125,21 @@ def probe_stats(spark, sf_dir):
     return crawl.probe_stats(_responses(spark, sf_dir).withColumn("error", F.when(F.col("seq") % 10 == 0, "timeout")))
 
 
-@query("fetch_fallback", "SELECT page_id, url, CASE WHEN page_id % 5 = 0 AND page_id % 2 = 0 THEN 201 WHEN page_id % 5 = 0 THEN -1 ELSE 200 END AS status, CASE WHEN page_id % 5 = 0 AND page_id % 2 = 0 THEN 'retry' WHEN page_id % 5 <> 0 THEN left(html, 20) END AS source_code FROM (SELECT page_id, url || '~' || page_id AS url, html FROM pages)")
+@query("fetch_fallback")
 def fetch_fallback(spark, sf_dir):
     p = read(spark, sf_dir, "pages").withColumn("url", F.concat("url", F.lit("~"), F.col("page_id").cast("string")))
     failed = F.col("page_id") % 5 == 0
-    pages = p.select("page_id", "url", F.when(failed, -1).otherwise(200).alias("status"), F.when(~failed, F.left("html", F.lit(20))).alias("source_code"))
+    pages = p.select("page_id", "url", F.when(failed, -1).otherwise(200).alias("status"), F.when(~failed, F.col("html")).alias("source_code"))
     retried = p.where(failed).select("url", F.lit(201).alias("status_code"), F.lit("retry").alias("response_content"), F.when(F.col("page_id") % 2 == 1, "no").alias("error"), F.col("page_id").alias("seq"))
     return crawl.with_fallback(pages, retried)
 
 
+@query("fetch_fallback_heads", "SELECT page_id, url, CASE WHEN page_id % 5 = 0 AND page_id % 2 = 0 THEN 201 WHEN page_id % 5 = 0 THEN -1 ELSE 200 END AS status, CASE WHEN page_id % 5 = 0 AND page_id % 2 = 0 THEN 'retry' WHEN page_id % 5 <> 0 THEN left(html, 20) END AS source_code FROM (SELECT page_id, url || '~' || page_id AS url, html FROM pages)")
+def fetch_fallback_heads(spark, sf_dir):
+    """fetch_fallback with the first characters of each source, for SQL."""
+    return fetch_fallback(spark, sf_dir).withColumn("source_code", F.left("source_code", F.lit(20)))
+
+
 @query("redirect_stats", "SELECT CAST(count(*) AS BIGINT) AS total, CAST(count_if(status_code IN (301, 302)) AS BIGINT) AS redirected, CAST(count_if(status_code = 200) AS BIGINT) AS success, CAST(count_if(status_code >= 400) AS BIGINT) AS errors FROM (" + _RESPONSES + ")")
 def redirect_stats(spark, sf_dir):
     s = F.col("status_code")

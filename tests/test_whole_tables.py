@@ -64,3 +64,13 @@ def test_literals_of_long_texts_and_long_literals(spark):
     got = {(r.id, r.value): r.score for r in secrets.literals(spark.createDataFrame(rows, "id int, text string"), "id", "text").collect()}
     assert set(got) == {(1, token), (2, short), (4, short), (4, token), (4, "word00")}
     assert got[4, short] == pytest.approx(got[2, short] + 0.2) and got[1, token] == got[4, token]
+
+
+def test_fetch_fallback_keeps_whole_pages(spark):
+    want = set()
+    for r in table(spark, SF, "pages").collect():
+        failed, retried = r.page_id % 5 == 0, r.page_id % 10 == 0
+        status, source = (201, "retry") if retried else (-1, None) if failed else (200, r.html)
+        want.add((r.page_id, f"{r.url}~{r.page_id}", status, source))
+    got = [tuple(r) for r in QUERIES["fetch_fallback"](spark, SF).select("page_id", "url", "status", "source_code").collect()]
+    assert set(got) == want and len(got) == len(want)
