@@ -181,8 +181,14 @@ def js_minify_cases(spark, sf_dir):
     return SCRIPTS.frame(spark).select("id", text.minify(F.col("code")).alias("minified"))
 
 
-@query("relevant_lines", f"SELECT id, relevant AS lines FROM {SCRIPTS.sql()}")
+@query("relevant_lines")
 def relevant_lines(spark, sf_dir):
+    rows = SCRIPTS.frame(spark).select(F.col("id").cast("bigint").alias("id"), "code").unionByName(read(spark, sf_dir, "pages").select((F.col("page_id") + 100).alias("id"), F.col("html").alias("code")))
+    return rows.select("id", text.relevant_lines(F.col("code")).alias("lines"))
+
+
+@query("relevant_lines_cases", f"SELECT id, relevant AS lines FROM {SCRIPTS.sql()}")
+def relevant_lines_cases(spark, sf_dir):
     return SCRIPTS.frame(spark).select("id", text.relevant_lines(F.col("code")).alias("lines"))
 
 
@@ -211,8 +217,17 @@ ANSWERS = Cases(
 )
 
 
-@query("verdict_parse", f"SELECT id, body, has_value, param_keys FROM {ANSWERS.sql()}")
+@query("verdict_parse")
 def verdict_parse(spark, sf_dir):
+    """All turns as a model's answers, and the cases as turns of conversations below 0."""
+    rows = ANSWERS.frame(spark).select((-F.col("id")).cast("bigint").alias("conv_id"), F.lit(0).cast("bigint").alias("turn"), "answer")
+    rows = rows.unionByName(read(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("answer")))
+    v = params.verdict(F.col("answer"))
+    return rows.select("conv_id", "turn", text.json_part(F.col("answer")).alias("body"), v["has_value"].alias("has_value"), F.array_join(v["param_keys"], ",").alias("param_keys"))
+
+
+@query("verdict_parse_cases", f"SELECT id, body, has_value, param_keys FROM {ANSWERS.sql()}")
+def verdict_parse_cases(spark, sf_dir):
     v = params.verdict(F.col("answer"))
     return ANSWERS.frame(spark).select("id", text.json_part(F.col("answer")).alias("body"), v["has_value"].alias("has_value"), F.array_join(v["param_keys"], ",").alias("param_keys"))
 
@@ -223,8 +238,17 @@ ADVICE = Cases(
 )
 
 
-@query("advisory_parse", f"SELECT id, path, method, params FROM {ADVICE.sql()}")
+@query("advisory_parse")
 def advisory_parse(spark, sf_dir):
+    """All turns as a model's answers, each about its conversation's path, and the cases as turns of conversations below 0."""
+    rows = ADVICE.frame(spark).select((-F.col("id")).cast("bigint").alias("conv_id"), F.lit(0).cast("bigint").alias("turn"), "api_path", "answer")
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("/api/"), F.col("conv_id").cast("string")).alias("api_path"), F.col("text").alias("answer"))
+    a = params.advisory(F.col("answer"), F.col("api_path"))
+    return rows.unionByName(turns).select("conv_id", "turn", a["path"].alias("path"), a["method"].alias("method"), a["params"].alias("params"))
+
+
+@query("advisory_parse_cases", f"SELECT id, path, method, params FROM {ADVICE.sql()}")
+def advisory_parse_cases(spark, sf_dir):
     a = params.advisory(F.col("answer"), F.col("api_path"))
     return ADVICE.frame(spark).select("id", a["path"].alias("path"), a["method"].alias("method"), a["params"].alias("params"))
 

@@ -196,8 +196,15 @@ PATH_CASES = Cases(
 )
 
 
-@query("api_path_blacklist", f"SELECT path, blacklisted, admitted FROM {PATH_CASES.sql()}")
+@query("api_path_blacklist", f"SELECT path, blacklisted, admitted FROM {PATH_CASES.sql()} UNION ALL SELECT link, {S.blacklisted('link')}, {S.api_path('link')} FROM ({_LINKS})")
 def api_path_blacklist(spark, sf_dir):
+    rows = PATH_CASES.frame(spark).select("path").unionByName(link_extract(spark, sf_dir).select(F.col("link").alias("path")))
+    p = F.col("path")
+    return rows.select("path", extract.is_blacklisted(p).alias("blacklisted"), extract.is_api_path(p).alias("admitted"))
+
+
+@query("api_path_blacklist_cases", f"SELECT path, blacklisted, admitted FROM {PATH_CASES.sql()}")
+def api_path_blacklist_cases(spark, sf_dir):
     p = F.col("path")
     return PATH_CASES.frame(spark).select("path", extract.is_blacklisted(p).alias("blacklisted"), extract.is_api_path(p).alias("admitted"))
 

@@ -1,14 +1,17 @@
 """Queries against brute force over whole tables, and over pages that the tables lack."""
 
+import json
 import os
+import re
 
 import pytest
 
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from ferrule.functions import extract
+from ferrule.functions import extract, rules, urls
 from ferrule.operators import secrets
+from ferrule.plans import audit, web
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 QUERIES = entry.queries()
@@ -74,3 +77,72 @@ def test_fetch_fallback_keeps_whole_pages(spark):
         want.add((r.page_id, f"{r.url}~{r.page_id}", status, source))
     got = [tuple(r) for r in QUERIES["fetch_fallback"](spark, SF).select("page_id", "url", "status", "source_code").collect()]
     assert set(got) == want and len(got) == len(want)
+
+
+def relevant(code):
+    """The lines that may hold an API path, line by line and literal by literal."""
+    kept = []
+    for line in re.split("\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", code):
+        line = line.strip(" \t\n\x0b\x0c\r")
+        if line == "" or line.startswith("//") or len(line) > 800 or not any(w in line for w in ("/", "http", "api", "=", ":")):
+            continue
+        line = re.sub(r"(?<!:)//.*$", "", line).rstrip(" \t\n\x0b\x0c\r").replace("\\", "")
+        if line == "" or re.search(r"<\s*(?:/\s*)?[A-Za-z][^>]*>", line):
+            continue
+        quoted = re.findall(r"""["'](.*?)["']""", line)
+        if any(not x.lower().endswith(rules.SKIPPED) and not set(x) & set("\\|{}()[]$^?+*") and re.search(urls.JOINED_SLASH, x) for x in quoted):
+            kept.append(" ".join(line.split()))
+    return "\n".join(kept)
+
+
+def test_relevant_lines_of_whole_table(spark, pages):
+    def holds(sf_dir):
+        got = {r.id: r.lines for r in QUERIES["relevant_lines"](spark, sf_dir).collect()}
+        want = {r.page_id + 100: relevant(r.html) for r in table(spark, sf_dir, "pages").collect()} | {r[0]: r[3] for r in audit.SCRIPTS.rows}
+        assert got == want
+        return got
+
+    holds(SF)
+    got = holds(pages("var a = '/api/x';\n<p>'/api/y'</p>\nb = 'x'", "  get('/a/b')  // c\nget('/img/x.png')"))
+    assert got[100] == "var a = '/api/x';" and got[101] == "get('/a/b')"
+
+
+def answer_parts(answer):
+    """The JSON of an answer, and the object that it is, if any."""
+    a = (answer or "").strip(" ")
+    fence, braces = re.search(r"(?is)`{3}(?:json)?[ \n\r\t]*(.*?)[ \n\r\t]*`{3}", a), re.search(r"(?s)\{.*\}", a)
+    body = a.removesuffix("```").strip(" ") if a[:1] in ("{", "[") else fence[1] if fence else braces[0] if braces else ""
+    try:
+        return body, json.loads(body) if body.startswith("{") else None
+    except ValueError:
+        return body, None
+
+
+TURNS = ['```json\n{"has_value": 0, "param_keys": ["id", "x"], "path": "", "method": "GET"}\n```', "no answer", 'so {"path": "/real", "params": "k=1"}', "{broken"]
+
+
+@pytest.fixture
+def turns(spark, tmp_path):
+    rows = [(7, k, "assistant", x) for k, x in enumerate(TURNS)]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    return str(tmp_path)
+
+
+def test_answers_of_whole_table(spark, turns):
+    for at in (SF, turns):
+        rows = [(r.conv_id, r.turn, r.text, f"/api/{r.conv_id}") for r in table(spark, at, "conversations").collect()]
+        verdicts, advice = [], []
+        for c, n, answer, path in rows + [(-r[0], 0, r[1], "") for r in audit.ANSWERS.rows]:
+            body, x = answer_parts(answer)
+            verdicts.append((c, n, body, (x or {}).get("has_value", 1), ",".join(k for k in (x or {}).get("param_keys", []) if len(k) > 1)))
+        for c, n, answer, path in rows + [(-r[0], 0, r[2], r[1]) for r in audit.ADVICE.rows]:
+            x = answer_parts(answer)[1]
+            advice.append((c, n, *((x.get("path") or path, x.get("method"), x.get("params")) if x is not None else (None, None, None))))
+        assert sorted(map(tuple, QUERIES["verdict_parse"](spark, at).collect())) == sorted(verdicts)
+        assert sorted(map(tuple, QUERIES["advisory_parse"](spark, at).collect()), key=str) == sorted(advice, key=str)
+
+
+def test_blacklist_of_whole_table(spark, pages):
+    at = pages("a('/user/delete'); b('/user/list')")
+    got = [tuple(r) for r in QUERIES["api_path_blacklist"](spark, at).collect()]
+    assert sorted(got, key=str) == sorted([*web.PATH_CASES.rows, ("/user/delete", True, False), ("/user/list", False, True)], key=str)
