@@ -118,8 +118,8 @@ def find(data: np.ndarray, offsets: np.ndarray, index: Index) -> list[tuple[int,
         return []
     wide = index.budget[item] + 1
     low = int(index.length.max())
-    band = (at - place + low) // wide  # diagonals from -low on; each q-gram counts in this band and the one before
-    span = (len(data) + low) + 2
+    band = (at - place + low) // wide + 1  # diagonals from -low on; each q-gram counts in this band and the one before, which is 0 at least
+    span = (len(data) + low) + 3
     key = item * span + band
     bands, count = np.unique(np.concatenate([key, key - 1]), return_counts=True)
     # a band may run over a row's edge, where it is cut: alignments keep to one row
@@ -128,7 +128,7 @@ def find(data: np.ndarray, offsets: np.ndarray, index: Index) -> list[tuple[int,
     found: list[tuple[int, int, int, int, int]] = []
     for k in np.unique(owner):
         w, m = int(index.budget[k]) + 1, int(index.length[k])
-        first = (bands[owner == k] - k * span) * w - low
+        first = (bands[owner == k] - k * span - 1) * w - low
         # the rows that the band's part of the text touches
         a = np.searchsorted(offsets, np.maximum(first, 0), "right") - 1
         z = np.searchsorted(offsets, np.minimum(first + 2 * w + m, len(data) - 1), "right") - 1

@@ -73,3 +73,14 @@ def test_edges(spark):
     empty = docs.where("false")
     assert D.passages(empty, bench).count() == 0 and D.decontaminate(empty, bench).count() == 0
     assert D.passages(docs, bench.where("false")).count() == 0 and D.decontaminate(docs, bench.where("false")).count() == docs.count()
+
+
+def test_piece_that_begins_with_the_end_of_the_longest_item():
+    rng = np.random.default_rng(0)
+    short, long, rest = (rng.integers(97, 123, n).astype(np.uint8) for n in (60, 300, 500))
+    for items in ([(1, short), (2, long)], [(2, long), (1, short)]):
+        index = D.Index(items, D.Q, D.RATE)
+        for n in range(8, 60):
+            data = np.concatenate([long[-n:], rest[: 500 - n], short])
+            found = D.find(data, np.array([0, 500, len(data)]), index)
+            assert [(row, index.items[k][0], *x) for row, k, *x in found] == [(1, 1, 0, 60, 0)]
