@@ -200,7 +200,7 @@ def js_sanitize(spark, sf_dir):
 
 @query("structural_truncate")
 def structural_truncate(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", text.structural_truncate(F.col("html"), 1000).alias("code"))
+    return read(spark, sf_dir, "pages").select("page_id", text.structural_truncate(F.col("html"), text.CODE_CHARS).alias("code"))
 
 
 ANSWERS = Cases(

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from ferrule.functions import extract, rules, urls
+from ferrule.functions import extract, rules, text, urls
 from ferrule.operators import secrets
 from ferrule.plans import audit, web
 
@@ -146,3 +146,9 @@ def test_blacklist_of_whole_table(spark, pages):
     at = pages("a('/user/delete'); b('/user/list')")
     got = [tuple(r) for r in QUERIES["api_path_blacklist"](spark, at).collect()]
     assert sorted(got, key=str) == sorted([*web.PATH_CASES.rows, ("/user/delete", True, False), ("/user/list", False, True)], key=str)
+
+
+def test_structural_truncate_keeps_pages_within_the_limit(spark, pages):
+    whole, heads = "x" * 12_000, "function f(){ get(token) }" * 1_000
+    got = {r.page_id: r.code for r in QUERIES["structural_truncate"](spark, pages(whole, whole + "y", heads)).collect()}
+    assert got == {0: whole, 1: whole + text.CUT, 2: text.truncated(heads, 12_000)} and len(got[2]) > 9_000
