@@ -253,16 +253,25 @@ def edge_insert_first(spark, sf_dir):
     return findings.edges(found, known)
 
 
-#: A closed corpus: each customer leads to two others.
+@query("crawl_frontier_depth")
+def crawl_frontier_depth(spark, sf_dir):
+    """A closed corpus: each customer leads to two others of the whole table, and each hundredth is a seed, so the frontier grows with it."""
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("source"))
+    n = c.count()
+    edges = c.withColumn("target", (F.col("source") * 7 + 3) % n + 1).unionByName(c.withColumn("target", (F.col("source") * 13 + 5) % n + 1))
+    return crawl.frontier(c.where("source % 100 = 1").select(F.col("source").alias("node")), edges, height=5)
+
+
+#: A small closed corpus: each customer leads to two of the first ones.
 _GRAPH = "SELECT c_custkey AS source, (c_custkey * 7 + 3) % 1009 AS target FROM customer UNION ALL SELECT c_custkey, (c_custkey * 13 + 5) % 997 FROM customer"
 
 
 @query(
-    "crawl_frontier_depth",
+    "crawl_frontier_small",
     f"""WITH RECURSIVE edges AS ({_GRAPH}), reached AS (SELECT CAST(1 AS BIGINT) AS node, 0 AS depth UNION SELECT target, depth + 1 FROM reached JOIN edges ON source = node WHERE depth < 5)
     SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM reached GROUP BY node""",
 )
-def crawl_frontier_depth(spark, sf_dir):
+def crawl_frontier_small(spark, sf_dir):
     c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("source"))
     edges = c.withColumn("target", (F.col("source") * 7 + 3) % 1009).unionByName(c.withColumn("target", (F.col("source") * 13 + 5) % 997))
     return crawl.frontier(spark.createDataFrame([(1,)], "node bigint"), edges, height=5)

@@ -152,3 +152,20 @@ def test_structural_truncate_keeps_pages_within_the_limit(spark, pages):
     whole, heads = "x" * 12_000, "function f(){ get(token) }" * 1_000
     got = {r.page_id: r.code for r in QUERIES["structural_truncate"](spark, pages(whole, whole + "y", heads)).collect()}
     assert got == {0: whole, 1: whole + text.CUT, 2: text.truncated(heads, 12_000)} and len(got[2]) > 9_000
+
+
+def test_frontier_reaches_the_whole_table(spark):
+    keys = [r.c_custkey for r in table(spark, SF, "customer").select("c_custkey").collect()]
+    known = {k: 0 for k in keys if k % 100 == 1}
+    level = set(known)
+    for depth in range(1, 6):
+        level = {t for k in level & set(keys) for t in ((k * 7 + 3) % len(keys) + 1, (k * 13 + 5) % len(keys) + 1)} - set(known)
+        known |= dict.fromkeys(level, depth)
+    got = [tuple(r) for r in QUERIES["crawl_frontier_depth"](spark, SF).select("node", "depth").collect()]
+    assert dict(got) == known and len(got) == len(known)
+
+
+def test_frontier_grows_with_the_table(spark, tmp_path):
+    spark.range(1, 15_001).withColumnRenamed("id", "c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    nodes = {r.node for r in QUERIES["crawl_frontier_depth"](spark, str(tmp_path)).collect()}
+    assert len(nodes) > 2_000 and max(nodes) > 14_000
