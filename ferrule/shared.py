@@ -1,4 +1,4 @@
-"""The folder that all executors share, written tables in it, and sides of joins whose size is checked."""
+"""The folder that all executors share, written tables in it, and sides of joins whose size is measured."""
 
 from __future__ import annotations
 
@@ -27,7 +27,7 @@ def ship(spark: SparkSession) -> None:
     root = Path(__file__).resolve().parent
     folder = tempfile.mkdtemp(prefix="ferrule-code-")  # on the driver: Spark's file server hands it out
     atexit.register(shutil.rmtree, folder, True)
-    with zipfile.ZipFile(archive := os.path.join(folder, "ferrule-core.zip"), "w") as z:
+    with zipfile.ZipFile(archive := os.path.join(folder, "ferrule-code.zip"), "w") as z:
         for path in sorted(root.rglob("*.py")):
             z.write(path, path.relative_to(root.parent))
     context.addPyFile(archive)
@@ -39,7 +39,7 @@ def folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if named := context.getConf().get("spark.checkpoint.dir", None):
         return named
-    if not context.master.startswith("local"):
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if context.applicationId not in _own:
         _own[context.applicationId] = made = tempfile.mkdtemp(prefix="ferrule-")
@@ -47,24 +47,44 @@ def folder(spark: SparkSession) -> str:
     return _own[context.applicationId]
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the session is over and the folder the cluster's to clear
-        pass
+def _at(spark: SparkSession, path: str):
+    """The file system of a path, and the path there."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read from there: its lineage ends, and no executor holds it."""
+    """df written to the shared folder and read from there: its lineage ends, and no executor holds it.
+
+    release() deletes it; what isn't released goes when the driver's JVM ends, also after the session has been stopped.
+    """
     spark = df.sparkSession
     path = f"{folder(spark)}/ferrule-{name}-{uuid.uuid4().hex}"
+    files, at = _at(spark, path)
+    files.deleteOnExit(at)
     df.write.parquet(path)
-    atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._ferrule_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that stored() wrote and that nothing reads any more; other DataFrames are left alone."""
+    for table in tables:
+        if path := table.__dict__.get("_ferrule_path"):
+            files, at = _at(table.sparkSession, path)
+            files.delete(at, True)
+            files.cancelDeleteOnExit(at)
+
+
+def measured(df: DataFrame) -> int:
+    """A bound of the bytes that a written table takes in memory: each row by its values' text, twice, and 16 bytes a column."""
+    if not df.columns:
+        return 0
+    row = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    return int(df.agg(F.sum(2 * row + 16 * (len(df.columns) + 2))).first()[0] or 0)
 
 
-def small(df: DataFrame, rows: int, row_bytes: int = 256) -> DataFrame:
-    """df with a broadcast hint if its rows, counted by the caller, take little memory; else as it is."""
-    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df, a written table, with a broadcast hint if it takes at most limit bytes; else Spark's shuffle joins apply."""
+    return F.broadcast(df) if measured(df) <= limit else df.hint("merge")
