@@ -1,95 +1,39 @@
-"""Reading tables, the shared folder, and joins whose small side is measured first."""
+"""Reading tables, Arrow batches of bounded size, and joins whose small side is measured first."""
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes up to which a measured side is broadcast; a larger one is shuffled.
-BROADCAST_BYTES = 32 << 20
+from .. import shared
+from ..shared import BROADCAST_BYTES, measured, release, small, stored  # noqa: F401  (the operators take them from here)
 
-#: Bytes of an Arrow batch at most (a longer row is one of its own); a worker holds several copies of one.
+#: Bytes of an Arrow batch at most (a longer row is one of its own), unless the session says otherwise; a worker holds several copies of one.
 BATCH_BYTES = 16 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
-_shipped: set[str] = set()
-_own_dirs: dict[str, str] = {}
-
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once in a session, and hold batches of text to BATCH_BYTES."""
-    context = spark.sparkContext
-    if int(spark.conf.get(_BATCH).rstrip("bB")) > BATCH_BYTES:
-        spark.conf.set(_BATCH, str(BATCH_BYTES))
-    if context.applicationId in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    folder = tempfile.mkdtemp(prefix="ferrule-code-")  # on the driver only: Spark's file server hands it out
-    atexit.register(shutil.rmtree, folder, True)
-    archive = os.path.join(folder, "ferrule.zip")
-    with zipfile.ZipFile(archive, "w") as z:
-        for path in sorted(root.rglob("*.py")):
-            z.write(path, path.relative_to(root.parent))
-    context.addPyFile(archive)
-    _shipped.add(context.applicationId)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where it is unset, a local session gets one of its own and any other is refused."""
-    context = spark.sparkContext
-    if said := context.getConf().get("spark.checkpoint.dir", None):
-        return said
-    if not context.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    if context.applicationId not in _own_dirs:
-        _own_dirs[context.applicationId] = folder = tempfile.mkdtemp(prefix="ferrule-shared-")
-        atexit.register(shutil.rmtree, folder, True)
-    return _own_dirs[context.applicationId]
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the session has ended; the folder is the cluster's to clear
-        pass
+    """Send this package to the Python workers, and hold batches of text to BATCH_BYTES where the user has set no size."""
+    shared.ship(spark)
+    unset = f"{BATCH_BYTES + 1}b"  # what is answered where nothing is set
+    if spark.conf.get(_BATCH, unset) == unset:
+        spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
 
 
-def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage and outlives any executor."""
-    path = f"{shared_dir(spark)}/ferrule-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def few(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
-    """Whether df, a written table, has at most limit bytes."""
-    return df.count() * row_bytes <= limit
-
-
-def sized(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """df, a written table, with a broadcast hint if it is small; else Spark's shuffle joins apply."""
-    return F.broadcast(df) if few(df, row_bytes, limit) else df.hint("merge")
+def fresh(name: str, taken: list[str]) -> str:
+    """name, with as many _ behind it as it takes to differ from all taken ones."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
 
 
-def without(docs: DataFrame, ids: DataFrame, row_bytes: int = 64) -> DataFrame:
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id isn't in ids(doc_id), a written table; those with a null id stay."""
-    name = "__gone"
-    while name in {c.lower() for c in docs.columns}:
-        name += "_"
-    gone = ids.select(F.col("doc_id").alias(name))
-    return docs.join(sized(gone, row_bytes), docs["doc_id"] == F.col(name), "left_anti")
+    name = fresh("__gone", docs.columns)
+    gone = small(ids.select(F.col("doc_id").alias(name)))
+    return docs.join(gone, docs["doc_id"] == F.col(name), "left_anti")

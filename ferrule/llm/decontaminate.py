@@ -5,8 +5,9 @@ diagonals (place in document less place in item) that lie within e of each other
 bands of 2 (e + 1) diagonals of which each overlaps the next by half; a band with enough of them is a candidate,
 and a banded alignment of the item with the document's letters there decides.
 
-Letters are the bytes of the lower-case text that are ASCII letters, digits or above 127, so case, spacing and
-punctuation don't count. An item's edit budget is rate x its letters, less where the lemma needs it.
+Letters are the letters, marks and digits (Unicode L, M and N) of the text in lower case and compatibility form, so
+case, spacing, punctuation and the look of quotes don't count. An item's edit budget is rate x its letters, less where
+the lemma needs it.
 """
 
 from __future__ import annotations
@@ -19,27 +20,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read, ship
-from .textbytes import IS_WORD, mix, pieces, powers
+from .textbytes import letters, mix, powers
 
 Q = 8
 RATE = 0.1
 #: Letters of the items that are searched for in one pass over the documents; more items take more passes.
 PASS_LETTERS = 4_000_000
 _TABLE_BITS = 22
-_STEP = 1 << 24  # alignments keep cost x _STEP + start in one number
+#: Cells of a band that are aligned together.
+_CELLS = 1 << 18
 
 SCHEMA = "doc_id bigint, item_id bigint, start int, end int, edits int"
 
 
-def letters(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, letters, offset of each row's letters and the end) for runs of rows."""
-    for lo, _, data, offsets in pieces(texts):
-        is_word = IS_WORD[data]
-        count = np.zeros(len(data) + 1, np.int64)
-        np.cumsum(is_word, out=count[1:])
-        yield lo, data[is_word], count[offsets]
-
-
 def gram_hashes(data: np.ndarray, q: int) -> np.ndarray:
     n = len(data) - q + 1
     if n <= 0:
@@ -83,28 +76,30 @@ class Index:
 def align(item: np.ndarray, text: np.ndarray, first: np.ndarray, width: int, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Fewest edits between item and a part of text whose path stays on diagonals first to first + width - 1, for each first.
 
-    The part is within lo:hi. Returns edits, start and end of the part (the first of several in text order).
+    The part is within lo:hi. Returns edits, start and end of the part (the first of several in text order). A cell
+    holds edits x step + the diagonal that its path begins on, which is the part's start less first: both are small
+    however long the text is.
     """
     column = np.arange(width)
     where = first[:, None] + column[None, :]  # the text position before row 0's column
+    one = np.int64(1) << int(width).bit_length()
     far = np.int64(1) << 50
-    origin = where - lo[:, None]
-    cost = np.where((where >= lo[:, None]) & (where <= hi[:, None]), origin, far)
-    step = column * _STEP
+    cost = np.where((where >= lo[:, None]) & (where <= hi[:, None]), column[None, :], far)
+    step = column * one
     for i, letter in enumerate(item):
         j = where + i  # the letter that a diagonal move takes
         inside = (j >= lo[:, None]) & (j < hi[:, None])
         there = text[np.clip(j, 0, len(text) - 1)]
-        move = np.where(inside, cost + np.where(there == letter, 0, _STEP), far)
+        move = np.where(inside, cost + np.where(there == letter, 0, one), far)
         down = np.full_like(cost, far)
-        down[:, :-1] = cost[:, 1:] + _STEP
+        down[:, :-1] = cost[:, 1:] + one
         best = np.minimum(move, down)
         cost = np.minimum.accumulate(best - step, axis=1) + step
         cost = np.where((j + 1 >= lo[:, None]) & (j + 1 <= hi[:, None]), cost, far)
-    at = np.argmin(cost // _STEP, axis=1)
+    at = np.argmin(cost // one, axis=1)
     least = cost[np.arange(len(first)), at]
-    edits = np.where(least >= far // 2, np.int64(1) << 40, least // _STEP)
-    return edits, least % _STEP + lo, first + at + len(item)
+    edits = np.where(least >= far // 2, np.int64(1) << 40, least // one)
+    return edits, least % one + first, first + at + len(item)
 
 
 def find(data: np.ndarray, offsets: np.ndarray, index: Index) -> list[tuple[int, int, int, int, int]]:
@@ -137,8 +132,9 @@ def find(data: np.ndarray, offsets: np.ndarray, index: Index) -> list[tuple[int,
         first = np.repeat(first, n)
         fits = offsets[rows + 1] - offsets[rows] >= m - w + 1
         rows, first = rows[fits], first[fits]
-        for c in range(0, len(rows), 4096):
-            r, f = rows[c : c + 4096], first[c : c + 4096]
+        some = max(1, _CELLS // (2 * w))
+        for c in range(0, len(rows), some):
+            r, f = rows[c : c + some], first[c : c + some]
             edits, start, end = align(index.items[k][1], data, f, 2 * w, offsets[r], offsets[r + 1])
             for i in np.flatnonzero(edits <= index.budget[k]):
                 found.append((int(r[i]), int(k), int(start[i] - offsets[r[i]]), int(end[i] - offsets[r[i]]), int(edits[i])))
@@ -212,6 +208,7 @@ def item_slices(benchmark: DataFrame, pass_letters: int) -> list[list[tuple[int,
     size = pass_letters
     for r in benchmark.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")).where("item_id IS NOT NULL AND text <> ''").distinct().orderBy("item_id", "text").toLocalIterator():
         for _, data, _ in letters(pa.array([r["text"]])):
+            data = data.astype(np.uint8) if len(data) and data.max() < 128 else data
             if size >= pass_letters:
                 slices.append([])
                 size = 0

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, few, read, ship, written
+from .common import read, ship, small, stored
 from .decontaminate import align, best
 from .textbytes import Words, grams, pieces
 
@@ -49,7 +49,7 @@ def template_words(templates: dict[str, str]) -> dict[str, np.ndarray]:
     out = {}
     for name, text in templates.items():
         for _, _, data, offsets in pieces(pa.array([text])):
-            h = Words(data, offsets).hash
+            h = Words(data, offsets, bigrams=False).hash
             if len(h) >= K:
                 out[name] = h
     return out
@@ -64,7 +64,7 @@ def budget(m: int, rate: float) -> tuple[int, int]:
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lo, _, data, offsets in pieces(b.column(2)):
-            w = Words(data, offsets)
+            w = Words(data, offsets, bigrams=False)
             h, row, place = grams(w.hash, w.of, K)
             at = pa.array(row + lo)
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(place.astype(np.int32)), pa.array(h.view(np.int64))], ["doc_id", "digest", "place", "run"])
@@ -76,7 +76,7 @@ def _verify(words: list[np.ndarray], names: list[str], rate: float):
             wanted = b.column(2).to_pylist()
             rows, found = [], []
             for lo, hi, data, offsets in pieces(b.column(1)):
-                w = Words(data, offsets)
+                w = Words(data, offsets, bigrams=False)
                 for r in range(hi - lo):
                     text = w.hash[w.of[r] : w.of[r + 1]]
                     spans = []
@@ -113,9 +113,7 @@ def license_spans(docs: DataFrame, templates: dict[str, str] | None = None, rate
     for t, h in enumerate(words):
         run, _, place = grams(h, np.array([0, len(h)]), K)
         places += zip(run.view(np.int64).tolist(), [t] * len(run), place.tolist())
-    where = spark.createDataFrame(places, "run bigint, template int, at int")
-    if len(places) * 32 <= BROADCAST_BYTES:
-        where = F.broadcast(where)
+    where = small(spark.createDataFrame(places, "run bigint, template int, at int"))
     limits = [budget(len(h), rate) for h in words]
     gap = F.element_at(F.array(*[F.lit(max(1, e)) for e, _ in limits]), F.col("template") + 1)
     least = F.element_at(F.array(*[F.lit(n) for _, n in limits]), F.col("template") + 1)
@@ -131,9 +129,8 @@ def license_spans(docs: DataFrame, templates: dict[str, str] | None = None, rate
     order = Window.partitionBy(*doc).orderBy("diagonal")
     new = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > gap, F.lit(True))
     merged = votes.withColumn("new", new.cast("int")).withColumn("group", F.sum("new").over(order)).groupBy(*doc, "group").agg(F.sum("votes").alias("votes"), F.min("diagonal").alias("low"), F.max("diagonal").alias("high"))
-    candidates = written(spark, merged.where(F.col("votes") >= least).groupBy("doc_id", "digest").agg(F.collect_list(F.struct("template", "low", "high")).alias("spans")), "spans")
-    side = candidates.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), "spans")
-    side = F.broadcast(side) if few(candidates, 128) else side.hint("merge")
+    candidates = stored(merged.where(F.col("votes") >= least).groupBy("doc_id", "digest").agg(F.collect_list(F.struct("template", "low", "high")).alias("spans")), "spans")
+    side = small(candidates.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), "spans"))
     both = texts.join(side, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest"))).select("doc_id", "text", "spans")
     return both.mapInArrow(_verify(words, names, rate), SCHEMA)
 

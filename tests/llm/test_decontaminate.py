@@ -8,11 +8,11 @@ import pyarrow as pa
 from ferrule.llm import decontaminate as D
 
 
-def letters(text: str) -> bytes:
-    return bytes(next(D.letters(pa.array([text])))[1]) if text else b""
+def letters(text: str) -> list[int]:
+    return next(D.letters(pa.array([text])))[1].tolist() if text else []
 
 
-def fewest(item: bytes, text: bytes) -> int:
+def fewest(item, text) -> int:
     """Edits between item and the part of text nearest to it."""
     row = [0] * (len(text) + 1)
     for i, a in enumerate(item):
@@ -44,7 +44,7 @@ def cases(seed: int, n: int = 60):
 def test_finds_what_brute_force_finds(spark):
     for seed in range(3):
         items, docs = cases(seed)
-        index = D.Index([(i, np.frombuffer(letters(t), np.uint8)) for i, t in items], D.Q, D.RATE)
+        index = D.Index([(i, np.array(letters(t))) for i, t in items], D.Q, D.RATE)
         want = {(d, i) for d, t in docs for k, (i, x) in enumerate(items) if fewest(letters(x), letters(t)) <= index.budget[k]}
         got = D.passages(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
         assert {(r.doc_id, r.item_id) for r in got} == want and want
@@ -84,3 +84,45 @@ def test_piece_that_begins_with_the_end_of_the_longest_item():
             data = np.concatenate([long[-n:], rest[: 500 - n], short])
             found = D.find(data, np.array([0, 500, len(data)]), index)
             assert [(row, index.items[k][0], *x) for row, k, *x in found] == [(1, 1, 0, 60, 0)]
+
+
+def test_very_long_texts():
+    """Items far beyond 2**24 letters are found where they stand, without an edit; so are words beyond 2**24."""
+    item = np.frombuffer(b"thequickbrownfoxjumps", np.uint8)
+    places = (16_777_116, (1 << 24) + 316, 3 * (1 << 24) + 5)
+    data = np.random.default_rng(0).integers(48, 58, places[-1] + 1000).astype(np.uint8)
+    for at in places:
+        data[at : at + len(item)] = item
+    found = D.find(data, np.array([0, len(data)]), D.Index([(7, item)], D.Q, D.RATE))
+    assert found == [(0, 0, at, at + len(item), 0) for at in places]
+    words = data.astype(np.uint64)
+    for at in places:
+        first = np.array([at - 5])
+        edits, start, end = D.align(item.astype(np.uint64), words, first, 10, np.array([0]), np.array([len(words)]))
+        assert (edits[0], start[0], end[0]) == (0, at, at + len(item))
+
+
+def test_quotes_spaces_and_forms_dont_hide_an_item(spark):
+    item = "Don't the café's owners' naïve friends count 1/2 of it?"
+    forms = [item, item.replace("'", "’"), item.replace(" ", " "), item.replace("é", "é").replace("ï", "ï"), "“" + item.upper() + "”", item.replace("count", "ｃount")]
+    docs = spark.createDataFrame([(i, f"Before — {t} after.") for i, t in enumerate(forms)], "doc_id long, text string")
+    rows = D.passages(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.edits) for r in rows} == {(i, 0) for i in range(len(forms))}
+
+
+def test_scripts_without_spaces(spark):
+    """An edit is a character, whatever the bytes it takes."""
+    rnd = random.Random(1)
+    han = lambda n: "".join(chr(rnd.randrange(0x4E00, 0x9FA5)) for _ in range(n))
+    item = han(60)
+    budget = int(D.Index([(0, np.array(list(map(ord, item))))], D.Q, D.RATE).budget[0])
+    docs, want = [], set()
+    for d, edits in enumerate([0, 1, budget, budget + 3]):
+        chars = list(item)
+        for k in rnd.sample(range(60), edits):
+            chars[k] = han(1)
+        docs.append((d, han(100) + "。" + "".join(chars) + han(50)))
+        if fewest(item, docs[-1][1].replace("。", "")) <= budget:
+            want.add(d)
+    got = D.passages(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(5, item)], "item_id long, text string")).collect()
+    assert {r.doc_id for r in got} == want == {0, 1, 2}
