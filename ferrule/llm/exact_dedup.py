@@ -7,8 +7,9 @@ digest that two texts share never joins them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import read
 
@@ -16,32 +17,45 @@ from .common import read
 SALTS = 64
 
 
-def _first(rest: list[str]):
-    """Of some rows the one with the lowest doc_id, nulls last, then the lowest other values."""
-    return F.min(F.struct(F.col("__id").isNull().alias("__null"), "__id", *rest))
+def comparable(kind: T.DataType) -> bool:
+    """Whether values of a type have an order; those with a map or a variant anywhere within have none."""
+    if isinstance(kind, T.ArrayType):
+        return comparable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(comparable(f.dataType) for f in kind.fields)
+    return not isinstance(kind, (T.MapType, T.VariantType, T.CalendarIntervalType))
 
 
 def winners(docs: DataFrame, keep: list[str], salts: int = SALTS) -> DataFrame:
     """One row for each distinct text: __text, __copies, and __w with __id and the columns of keep (named _0, _1, ...)."""
     digest = F.xxhash64("text")
     salt = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(salts)).cast("int")
-    rest = [f"_{i}" for i in range(len(keep))]
-    rows = docs.where("text IS NOT NULL").select(digest.alias("__digest"), salt.alias("__salt"), F.col("text").alias("__text"), F.col("doc_id").alias("__id"), *[F.col(f"`{c}`").alias(r) for c, r in zip(keep, rest)])
-    salted = rows.groupBy("__digest", "__salt", "__text").agg(_first(rest).alias("__w"), F.count(F.lit(1)).alias("__copies"))
-    return salted.groupBy("__digest", "__text").agg(F.min("__w").alias("__w"), F.sum("__copies").alias("__copies"))
+    names = [f"_{i}" for i in range(len(keep))]
+    has_order = [comparable(docs.schema[c].dataType) for c in keep]
+    # the lowest doc_id, nulls last, then the lowest other values; a value without an order is compared by its text
+    order = [F.col("doc_id").isNull().alias("__null"), F.col("doc_id").alias("__id")]
+    order += [(F.col(f"`{c}`") if plain else F.to_json(F.struct(F.col(f"`{c}`")))).alias(n if plain else f"{n}_text") for c, n, plain in zip(keep, names, has_order)]
+    rest = [F.col(f"`{c}`").alias(n) for c, n, plain in zip(keep, names, has_order) if not plain]
+    rows = docs.where("text IS NOT NULL").select(digest.alias("__digest"), salt.alias("__salt"), F.col("text").alias("__text"), F.struct(*order).alias("__w"), *([F.struct(*rest).alias("__r")] if rest else []))
+
+    def lowest() -> list[Column]:
+        return [F.min("__w").alias("__w")] + ([F.min_by("__r", "__w").alias("__r")] if rest else [])
+
+    salted = rows.groupBy("__digest", "__salt", "__text").agg(*lowest(), F.count(F.lit(1)).alias("__copies"))
+    won = salted.groupBy("__digest", "__text").agg(*lowest(), F.sum("__copies").alias("__copies"))
+    both = F.struct(F.col("__w.__id").alias("__id"), *[F.col(f"__w.{n}" if plain else f"__r.{n}").alias(n) for n, plain in zip(names, has_order)])
+    return won.select("__digest", "__text", both.alias("__w"), "__copies")
 
 
 def exact_dedup(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     """docs without its copies: of the rows with one text that with the lowest doc_id stays, all columns as they were.
 
     Rows with a null text are no copies of each other and all stay. Empty texts are copies of each other. Among rows
-    with one text and one doc_id (repeated rows) the lowest of the other columns' values, in order, stay; a null
-    doc_id comes after all others. An empty table gives an empty table; further columns, whatever their names, pass.
+    with one text and one doc_id (repeated rows) the lowest of the other columns' values, in order, stay; values that
+    hold a map or a variant are compared by their JSON. A null doc_id comes after all others. An empty table gives an
+    empty table; further columns, whatever their names, pass.
     """
     keep = [c for c in docs.columns if c not in ("doc_id", "text")]
-    orderable = not any(t.startswith("map") or t == "variant" for _, t in docs.dtypes)
-    if not orderable:
-        raise ValueError("map and variant columns can't be compared; turn them into JSON first")
     won = winners(docs, keep, salts)
     back = {"doc_id": F.col("__w.__id"), "text": F.col("__text")} | {c: F.col(f"__w._{i}") for i, c in enumerate(keep)}
     kept = won.select(*[back[c].alias(c) for c in docs.columns])
