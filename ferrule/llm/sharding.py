@@ -15,19 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, ship, written
+from .common import fresh, read, release, ship, stored
 
 SHARDS = 64
 #: Candidate keys for each splitter in a round: six bits of the key a round.
 PROBES = 63
 
 
-def _fresh(name: str, taken: list[str]) -> str:
-    while name.lower() in {t.lower() for t in taken}:
-        name += "_"
-    return name
-
-
 def _below(light: DataFrame, probes: list[int]) -> list[int]:
     """For each of the ascending probes the bytes of the rows with a lower key."""
     cuts = np.array(probes, np.int64)
@@ -113,10 +107,10 @@ def histogram_sort(docs: DataFrame, shards: int = SHARDS, tolerance: float = 0.0
     counts no bytes. If no text has any bytes all rows are in shard 0. Columns pass as they are; where one is named
     shard already the new one is shard_ .
     """
-    spark = docs.sparkSession
-    light = written(spark, docs.select(F.col(key).cast("bigint").alias("key"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("bytes")), "bytes")
+    light = stored(docs.select(F.col(key).cast("bigint").alias("key"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("bytes")), "bytes")
     cuts, _ = splitters(light, shards, tolerance)
-    name = _fresh("shard", docs.columns)
+    release(light)
+    name = fresh("shard", docs.columns)
     placed = docs.withColumn(name, _place(F.col(key).cast("bigint"), cuts))
     return placed.repartitionById(shards, F.col(name)).sortWithinPartitions(key)
 
