@@ -1,7 +1,9 @@
-"""Mixture-controlled packing against a token-by-token schedule, and exact tiling of every document."""
+"""Mixture-controlled packing against a round-robin that grants one token at a time, and exact tiling of every document."""
 
 import random
+import time
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 from hypothesis import given, settings
@@ -16,9 +18,65 @@ def tokens(text):
         return len(C.encoding(f.read()).encode_ordinary(text))
 
 
+class Queue:
+    """A node of the round-robin, token by token: each of its halves carries its deficit, what it is owed beyond what it got."""
+
+    def __init__(self, totals, weights):
+        self.left = sum(totals)
+        if len(totals) == 1:
+            self.halves, self.leaves = None, [[totals[0], Fraction(totals[0]), weights[0]]]
+        else:
+            mid = len(totals) // 2
+            self.halves = [Queue(totals[:mid], weights[:mid]), Queue(totals[mid:], weights[mid:])]
+            self.deficit = Fraction(0)  # of the first half
+            self.leaves = [[t, Fraction(t), w] for t, w in zip(totals, weights)]  # tokens, what of them isn't owed yet, weight
+
+    def grant(self, out, lo=0):
+        self.left -= 1
+        if self.halves is None:
+            out[lo] += 1
+            return
+        owed, mid = Fraction(1), len(self.leaves) // 2
+        while owed:  # by weight among those of which something isn't owed yet
+            live = [x for x in self.leaves if x[1]]
+            step = min([owed / sum(x[2] for x in live), *(x[1] / x[2] for x in live)])
+            for i, x in enumerate(self.leaves):
+                if x in live:
+                    x[1] -= step * x[2]
+                    self.deficit += step * x[2] * (i < mid)
+            owed -= step * sum(x[2] for x in live)
+        first = self.deficit >= 1
+        self.deficit -= first
+        self.halves[not first].grant(out, lo + (0 if first else mid))
+
+
+queues = st.lists(st.tuples(st.integers(0, 60), st.sampled_from([0.0, 0.1, 1.0, 3.0, 20.0])), min_size=1, max_size=6)
+
+
+@settings(max_examples=40, deadline=None)
+@given(queues)
+def test_plan_is_the_round_robin(queues):
+    totals, shares = [t for t, _ in queues], [w for _, w in queues]
+    plan = M.Plan(totals, shares)
+    units = M._units(shares) if sum(shares) else [0] * len(shares)
+    sent, want = np.zeros(len(totals), int), [[0] * len(totals)]
+    for use, these in ((units, [s for s, t in enumerate(totals) if t and units[s]]), (M._units(totals) if sum(totals) else [], [s for s, t in enumerate(totals) if t and not units[s]])):
+        if these:
+            root = Queue([totals[s] for s in these], [use[s] for s in these])
+            while root.left:
+                out = [0] * len(these)
+                root.grant(out)
+                sent[these] += out
+                want.append(sent.tolist())
+    n = np.arange(sum(totals) + 1)
+    got = np.array([plan.sent(s, n) for s in range(len(totals))])
+    assert got.T.tolist() == want
+    assert (plan.all_sent(n, np.arange(len(totals))) == got).all()
+
+
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 400), st.sampled_from([0.0, 0.1, 1.0, 3.0, 20.0])), min_size=1, max_size=7))
-def test_plan_token_by_token(queues):
+@given(st.lists(st.tuples(st.integers(0, 500), st.sampled_from([0.0, 0.1, 1.0, 3.0, 20.0])), min_size=1, max_size=9), st.integers(1, 300))
+def test_plan_shares(queues, tokens):
     totals, shares = [t for t, _ in queues], [w for _, w in queues]
     plan = M.Plan(totals, shares)
     n = np.arange(sum(totals) + 1)
@@ -32,24 +90,22 @@ def test_plan_token_by_token(queues):
         end = int(np.argmax((sent[used] >= np.array(totals)[used, None]).any(0)))
         fair = n[:end] * (units / units.sum())[:, None]
         assert (np.abs(sent[:, :end] - fair) <= 1 + np.log2(len(totals)) + 1).all()
+    for s, t in enumerate(totals):
+        group = plan.group(s, np.arange(t), tokens)
+        assert all(plan.sent(s, np.array([g * tokens]))[0] <= i < plan.sent(s, np.minimum(np.array([(g + 1) * tokens]), plan.total))[0] for i, g in enumerate(group))
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.tuples(st.integers(1, 300), st.sampled_from([0.01, 1.0, 3.0, 7.0])), min_size=1, max_size=8), st.integers(1, 60))
-def test_round_robin(queues, window):
-    q, w = np.array([n for n, _ in queues]), np.array([x for _, x in queues])
-    out = M.round_robin(q, w, window)
-    assert out.sum(0).tolist() == q.tolist() and (out >= 0).all()
-    assert (out.sum(1)[:-1] == window).all() and 0 < out[-1].sum() <= window
-    sent = np.cumsum(out, 0)
-    wet = int(np.argmax((sent >= q).any(1)))  # windows before the first source runs dry
-    fair = np.arange(1, wet + 1)[:, None] * window * w / w.sum()
-    assert (np.abs(sent[:wet] - fair) < 2).all()
-    # sources that are dry take nothing; the others share by weight between any two windows in which none runs dry
-    for a in range(len(out) - 1):
-        live = sent[a] < q
-        if (sent[a + 1] < q)[live].all():
-            assert (np.abs(out[a + 1] - window * w * live / (w * live).sum()) < 4).all()
+def test_plan_of_many_sources_and_many_tokens():
+    rnd = np.random.default_rng(0)
+    totals = rnd.integers(1, 10**10, 10_000).tolist()
+    began = time.monotonic()
+    plan = M.Plan(totals, [t**M.TEMPER for t in totals])
+    n = np.linspace(0, plan.total, 50).astype(np.int64)
+    assert (plan.all_sent(n, np.arange(10_000)).sum(0) == n).all()
+    assert time.monotonic() - began < 5
+    huge = M.Plan([3 * 10**17, 10**17, 5], [3.0, 1.0, 0.0])
+    n = np.array([0, 4, 4 * 10**16, 4 * 10**17, 4 * 10**17 + 5])
+    assert huge.all_sent(n, np.arange(3)).T.tolist() == [[0, 0, 0], [3, 1, 0], [3 * 10**16, 10**16, 0], [3 * 10**17, 10**17, 0], [3 * 10**17, 10**17, 5]]
 
 
 def corpus(seed, n=300):
@@ -101,6 +157,13 @@ def test_windows(spark, monkeypatch):
             for s in want:
                 assert abs(got[s] - k * 64 * want[s] / sum(want.values())) < 6 + k * 64 * 1e-4
     assert sum(first, Counter()) == sum(again, Counter()) == size
+    # how windows are grouped changes no row
+    a, b = ({r["window"]: tuple(r) for r in M.pack_mixture(df, window=64, group_windows=g).collect()} for g in (3, 100))
+    assert a == b
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    plan = M.Plan([size[s] for s in order], [size[s] ** M.TEMPER for s in order])
+    taken = np.diff(plan.all_sent(np.minimum(np.arange(len(again) + 1) * 64, plan.total), np.arange(len(order))), axis=1).T
+    assert [[c[s] for s in order] for c in again] == taken.tolist()
 
 
 def test_targets(spark):
