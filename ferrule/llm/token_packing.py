@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read, ship
-from .token_counts import PATTERN, VOCABULARY, encoding, parts
+from .token_counts import PATTERN, VOCABULARY, batches, encode, encoding
 
 LENGTH = 2048
 #: Tokens that a task holds before it packs them.
@@ -80,7 +80,7 @@ def best_fit(sizes: list[int], length: int) -> list[list[int]]:
 
 
 def _pack(ranks, pattern: str, length: int, pool: int, kind: str, pad: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(ranks.value, pattern)
         context = TaskContext.get()
         number = (context.partitionId() if context else 0) << 40
@@ -108,16 +108,30 @@ def _pack(ranks, pattern: str, length: int, pool: int, kind: str, pad: int):
                 yield pa.RecordBatch.from_arrays([pa.array(range(number, number + len(rows)), pa.int64()), pa.array([c[-1] for c in ends], pa.int32()), pa.array([x.tobytes() for x in matrix]), pa.array([x.tobytes() for x in places]), pa.array(ends, pa.list_(pa.int32())), pa.array(docs, pa.list_(pa.int64())), pa.array(starts, pa.list_(pa.int64()))], ["pack_id", "tokens", "input_ids", "position_ids", "cu_seqlens", "doc_ids", "doc_starts"])
                 number += len(rows)
 
-        for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = [np.array(enc.encode_ordinary(p), kind) for p in parts(text.as_py())]
-                whole = ids[0] if len(ids) == 1 else np.concatenate(ids)
-                for at in range(0, len(whole), length):
-                    held.append((doc, at, whole[at : at + length]))
-                size += len(whole)
-                if size >= pool:
-                    yield from flush()
-                    held, size = [], 0
+        def documents() -> Iterator[tuple[int | None, np.ndarray]]:
+            """Each document's ids: a batch holds parts of several, and a long document is in several batches."""
+            for b in tables:
+                docs = b.column(0).to_pylist()
+                own: list[np.ndarray] = []
+                at = 0
+                for batch in batches(b.column(1).to_pylist()):
+                    ids, first, end = encode(enc, [part for _, part in batch])
+                    for k, (row, _) in enumerate(batch):
+                        if row != at and own:
+                            yield docs[at], np.concatenate(own)
+                            own = []
+                        at = row
+                        own.append(ids[first[k] : end[k]].astype(kind))
+                if own:
+                    yield docs[at], np.concatenate(own)
+
+        for doc, whole in documents():
+            for a in range(0, len(whole), length):
+                held.append((doc, a, whole[a : a + length]))
+            size += len(whole)
+            if size >= pool:
+                yield from flush()
+                held, size = [], 0
         if held:
             yield from flush()
 

@@ -28,6 +28,15 @@ def test_batches_are_balanced():
     assert all(5000 <= s < 5000 + 1100 for s in sizes[:-1])
 
 
+def test_a_batch_is_encoded_as_its_parts():
+    rnd = random.Random(3)
+    texts = ["", C.MARK, f"a{C.MARK}b", C.MARK[1:], "<|endoftext|>", *(" ".join(rnd.choice(["tion", "über", "x\n", "中文", "  "]) for _ in range(rnd.randint(0, 30))) for _ in range(200))]
+    ids, first, end = C.encode(enc(), texts)
+    assert [ids[a:z].tolist() for a, z in zip(first, end)] == [enc().encode_ordinary(t) for t in texts]
+    for size, long in ((1, 1), (50, 7), (10**6, 10**6)):
+        assert C.count([*texts, None], enc(), size, long) == [*(len(enc().encode_ordinary(t)) for t in texts), None]
+
+
 def test_counts(spark):
     rows = [(1, "Hello world's", 0), (1, "Hello world's", 0), (None, "é" * 10, 0), (2, None, 0), (3, "", 0), (4, "long text " * 30000, 0), (5, "x" * 200000, 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, tokens int")
