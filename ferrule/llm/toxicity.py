@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A linear model over hashed words and word beginnings is trained in numpy from confirmed toxic documents and from
-labelled documents whose label isn't looked at. With the class prior p its risk is
+A linear model over hashed words and word beginnings is trained in numpy from documents that are labelled toxic and
+from a sample of all documents, whose labels, if they have any, aren't looked at. With the class prior p its risk is
 p R(toxic, +) + max(0, R(unlabelled, -) - p R(toxic, -)): the second term, which stands for clean text, is kept
 from going below zero, where a flexible model would only fit noise. Scoring runs over every whole text.
 """
@@ -12,14 +12,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, ship
+from .common import fresh, read, release, ship, stored
 from .textbytes import Words, mix, pieces
 
-#: Labelled rows that the model is fitted to, at most: toxic ones, and ones taken as unlabelled.
-MAX_TOXIC, MAX_UNLABELLED = 1500, 4500
+#: Documents that the model is fitted to, at most: labelled toxic ones, and ones of any kind taken as unlabelled; and
+#: their features in all, each counted once a document, which bounds what the driver holds however long the texts are.
+MAX_TOXIC, MAX_UNLABELLED, MAX_FEATURES = 1500, 4500, 1 << 23
 BITS = 18
 #: Word beginnings, in bytes, that are features beside whole words.
 STARTS = (3, 4, 5, 6, 7)
@@ -73,46 +74,71 @@ def vectors(texts: pa.Array) -> Iterator[tuple[bytes, bytes]]:
 
 
 class Rows:
-    """Sparse rows: feature, value and row of each entry."""
+    """Sparse rows: feature and value of each entry by row, and the same by feature."""
 
-    def __init__(self, found: list[tuple[bytes, bytes]]) -> None:
+    def __init__(self, found: list[tuple[bytes, bytes]], used: np.ndarray | None = None) -> None:
+        """With used, an ascending list of features, only those, numbered by their places in it."""
         self.n = len(found)
-        self.feature = np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(a, np.int32) for a, _ in found)])
-        self.value = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(b, np.float32) for _, b in found)])
-        self.row = np.repeat(np.arange(self.n), [len(a) // 4 for a, _ in found])
-
-    def keep(self, to: np.ndarray) -> None:
-        """Renumber the features; drop those that go to -1."""
-        kept = to[self.feature] >= 0
-        self.feature, self.value, self.row = to[self.feature[kept]], self.value[kept].astype(np.float64), self.row[kept]
+        feature = np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(a, np.int32) for a, _ in found)])
+        value = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(b, np.float32) for _, b in found)])
+        row = np.repeat(np.arange(self.n), [len(a) // 4 for a, _ in found])
+        if used is not None:
+            at = np.searchsorted(used, feature)
+            kept = used[np.minimum(at, len(used) - 1)] == feature if len(used) else np.zeros(len(at), bool)
+            feature, value, row = at[kept], value[kept], row[kept]
+        self.feature, self.value = feature.astype(np.int32), value.astype(np.float64)
+        self.filled, self.first = np.unique(row, return_index=True)
+        order = np.argsort(self.feature, kind="stable")
+        self.by_row, self.by_value = row[order].astype(np.int32), self.value[order]
+        self.present, self.begin = np.unique(self.feature[order], return_index=True)
 
     def times(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, w[self.feature] * self.value, self.n)
+        out = np.zeros(self.n)
+        if len(self.filled):
+            out[self.filled] = np.add.reduceat(w[self.feature] * self.value, self.first)
+        return out
 
     def back(self, g: np.ndarray, size: int) -> np.ndarray:
-        return np.bincount(self.feature, g[self.row] * self.value, size)
+        out = np.zeros(size)
+        if len(self.present):
+            out[self.present] = np.add.reduceat(g[self.by_row] * self.by_value, self.begin)
+        return out
+
+
+def risk(toxic: Rows, unlabelled: Rows, prior: float, w: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """(positive part, clean part before it is held at zero, gradient of either); w's last is the bias.
+
+    With the logistic loss the positive part is p R(toxic, +) and the clean part R(unlabelled, -) - p R(toxic, -).
+    """
+    zp, zu = toxic.times(w) + w[-1], unlabelled.times(w) + w[-1]
+    sp, su = (1 / (1 + np.exp(-np.clip(z, -50, 50))) for z in (zp, zu))
+    size = len(w) - 1
+
+    def gradient(gp: np.ndarray, gu: np.ndarray) -> np.ndarray:
+        return np.append(toxic.back(gp, size) + unlabelled.back(gu, size), gp.sum() + gu.sum())
+
+    positive = prior * np.logaddexp(0, -zp).mean()
+    clean = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    return positive, clean, gradient(prior * (sp - 1) / toxic.n, np.zeros(unlabelled.n)), gradient(-prior * sp / toxic.n, su / unlabelled.n)
+
 
+def fit(toxic: list[tuple[bytes, bytes]], unlabelled: list[tuple[bytes, bytes]], prior: float, steps: int = STEPS) -> tuple[np.ndarray, float]:
+    """Weights and bias that minimise the non-negative risk with logistic loss, by Adam over all rows.
 
-def fit(toxic: Rows, unlabelled: Rows, prior: float, steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the non-negative risk with logistic loss, by Adam over all rows."""
-    seen = np.bincount(toxic.feature, minlength=1 << BITS) + np.bincount(unlabelled.feature, minlength=1 << BITS)
-    used = np.flatnonzero(seen >= MIN_ROWS)
-    to = np.full(1 << BITS, -1, np.int64)
-    to[used] = np.arange(len(used))
-    toxic.keep(to)
-    unlabelled.keep(to)
+    Where the clean part has gone below zero the step goes back from the noise that it has been fitted to.
+    """
+    seen = np.zeros(1 << BITS, np.int64)
+    for a, _ in [*toxic, *unlabelled]:
+        seen[np.frombuffer(a, np.int32)] += 1  # a feature stands once in a row
+    used = np.flatnonzero(seen >= MIN_ROWS).astype(np.int32)
+    p, u = Rows(toxic, used), Rows(unlabelled, used)
     w = np.zeros(len(used) + 1)  # the last is the bias
     w[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, steps + 1):
-        zp, zu = toxic.times(w) + w[-1], unlabelled.times(w) + w[-1]
-        sp, su = (1 / (1 + np.exp(-np.clip(z, -50, 50))) for z in (zp, zu))
-        clean = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        if clean >= 0:
-            gp, gu = prior * (sp - 1) / toxic.n - prior * sp / toxic.n, su / unlabelled.n
-        else:  # step back from the noise that the clean risk has been fitted to
-            gp, gu = prior * (sp - 1) / toxic.n + BACK * prior * sp / toxic.n, -BACK * su / unlabelled.n
-        g = np.append(toxic.back(gp, len(used)) + unlabelled.back(gu, len(used)) + DECAY * w[:-1], gp.sum() + gu.sum())
+        _, clean, of_positive, of_clean = risk(p, u, prior, w)
+        g = of_positive + of_clean if clean >= 0 else of_positive - BACK * of_clean
+        g[:-1] += DECAY * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= RATE * min(1.0, 2 * (1 - step / steps) + 0.02) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     out = np.zeros(1 << BITS)
@@ -120,40 +146,56 @@ def fit(toxic: Rows, unlabelled: Rows, prior: float, steps: int = STEPS) -> tupl
     return out, float(w[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_unlabelled: int = MAX_UNLABELLED, prior: float | None = None) -> tuple[np.ndarray, float] | None:
+def sample(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_unlabelled: int = MAX_UNLABELLED) -> DataFrame:
+    """(id, toxic, text): the documents labelled toxic, and documents of any kind, that come first by a hash of doc_id.
+
+    A document that several rows give is taken once, with the lowest of their texts.
+    """
+    order = F.xxhash64("doc_id")
+    known = labels.where("doc_id IS NOT NULL AND toxic = 1").select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
+    every = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"))
+    chosen = [(r["doc_id"], 1) for r in known.orderBy(order, "doc_id").limit(max_toxic).collect()]
+    chosen += [(r["doc_id"], 0) for r in every.distinct().orderBy(order, "doc_id").limit(max_unlabelled).collect()]
+    ids = docs.sparkSession.createDataFrame(chosen, "__id bigint, __toxic int")
+    texts = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("__doc"), F.col("text").cast("string").alias("text"))
+    both = texts.join(F.broadcast(ids), F.col("__doc") == F.col("__id"))  # at most max_toxic + max_unlabelled rows
+    return both.groupBy(F.col("__id").alias("id"), F.col("__toxic").alias("toxic")).agg(F.min("text").alias("text"))
+
+
+def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_unlabelled: int = MAX_UNLABELLED, prior: float | None = None, max_features: int = MAX_FEATURES) -> tuple[np.ndarray, float] | None:
     """The model, or None where no document that has a text is labelled toxic.
 
-    It is fitted to max_toxic toxic documents and max_unlabelled labelled ones of either kind, taken in the order of
-    a hash of doc_id. prior is by default the toxic share of all labels. Labels without doc_id or toxic are left out;
-    a document with several labels is toxic if one says so.
+    It is fitted to at most max_toxic toxic documents and max_unlabelled ones of any kind, in the order of a hash of
+    doc_id, as many of either as have half of max_features features. prior is by default the toxic share of all labels.
+    Labels without doc_id or toxic are left out; a document with several labels is toxic if one says so.
     """
     spark = docs.sparkSession
     ship(spark)
-    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     if prior is None:
+        known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
         prior = known.agg(F.avg("toxic")).first()[0]
     if not prior:
         return None
     prior = min(max(float(prior), 1e-4), 0.5)
-    order = F.xxhash64("doc_id")
-    chosen = [known.where("toxic = 1").orderBy(order, "doc_id").limit(max_toxic).select("doc_id", F.lit(1).alias("toxic")), known.orderBy(order, "doc_id").limit(max_unlabelled).select("doc_id", F.lit(0).alias("toxic"))]
-    ids = spark.createDataFrame([tuple(r) for part in chosen for r in part.collect()], "__id bigint, __toxic int")
-    if ids.isEmpty():
-        return None
-    texts = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("__doc"), "text").join(F.broadcast(ids), F.col("__doc") == F.col("__id")).select("__id", "__toxic", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = list(vectors(b.column(2)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([f for f, _ in found], pa.binary()), pa.array([x for _, x in found], pa.binary())], ["id", "toxic", "features", "value"])
 
-    rows = texts.mapInArrow(run, "id bigint, toxic int, features binary, value binary").toArrow().sort_by([("id", "ascending"), ("toxic", "ascending")])
+    rows = sample(docs, labels, max_toxic, max_unlabelled).mapInArrow(run, "id bigint, toxic int, features binary, value binary")
+    held = stored(rows.withColumn("n", F.octet_length("features") / 4), "vectors")
+    before = Window.partitionBy("toxic").orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fits = held.select("id", "toxic", F.sum("n").over(before).alias("sum")).where(F.col("sum") <= max_features // 2).select(F.col("id").alias("__id"), F.col("toxic").alias("__toxic"))
+    both = held.join(F.broadcast(fits), (F.col("id") == F.col("__id")) & (F.col("toxic") == F.col("__toxic")), "left_semi")
+    table = both.select("id", "toxic", "features", "value").toArrow().sort_by([("toxic", "ascending"), ("id", "ascending")])
+    release(held)
     sides: tuple[list, list] = ([], [])
-    for toxic, f, x in zip(rows["toxic"].to_pylist(), rows["features"].to_pylist(), rows["value"].to_pylist()):
+    for toxic, f, x in zip(table["toxic"].to_pylist(), table["features"].to_pylist(), table["value"].to_pylist()):
         sides[toxic].append((f, x))
     if not sides[1] or not sides[0]:
         return None
-    return fit(Rows(sides[1]), Rows(sides[0]), prior)
+    return fit(sides[1], sides[0], prior)
 
 
 def _scorer(model: tuple[np.ndarray, float]):
@@ -172,8 +214,7 @@ def scored(docs: DataFrame, labels: DataFrame, name: str = "toxicity", **how) ->
 
     Without a model (no toxic labels, or empty tables) it is null everywhere.
     """
-    while name.lower() in {c.lower() for c in docs.columns}:
-        name += "_"
+    name = fresh(name, docs.columns)
     model = train(docs, labels, **how)
     text = F.col("text").cast("string")
     value = F.lit(None).cast("double") if model is None else F.when(text.isNotNull(), _scorer(model)(text))

@@ -40,38 +40,76 @@ def test_held_out_accuracy(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(score) - flagged
 
 
-def test_clean_labels_arent_looked_at(spark):
-    """Unlabelled rows are the labelled ones of either kind: hiding which are clean changes nothing but the prior."""
+def test_the_unlabelled_are_documents_of_any_kind(spark):
+    """Half of the documents bear no label at all; of the labels only which are toxic counts, and the prior."""
     rows = corpus(2, 800)
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, x) for i, _, x in rows[:400]], "doc_id long, toxic int")
+    prior = sum(x for *_, x in rows[:400]) / 400
+    taken = T.sample(docs, labels, 1000, 300).collect()
+    assert {r.id for r in taken if r.toxic} == {i for i, _, x in rows[:400] if x}
+    free = [r.id for r in taken if not r.toxic]
+    assert len(free) == len(set(free)) == 300 and sum(i >= 400 for i in free) > 100
+    w, b = T.train(docs, labels)
+    w2, b2 = T.train(docs, labels.where("toxic = 1"), prior=prior)
+    assert np.allclose(w, w2) and abs(b - b2) < 1e-9
+
+
+def test_the_sample_is_bounded(spark):
+    """Repeated documents count once, and long ones only while their features fit."""
+    rows = corpus(3, 300)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int")
     w, b = T.train(docs, labels)
-    w2, b2 = T.train(docs, labels, prior=sum(x for *_, x in rows) / len(rows))
+    w2, b2 = T.train(docs.unionByName(docs).unionByName(docs), labels)
     assert np.allclose(w, w2) and abs(b - b2) < 1e-9
+    assert T.train(docs, labels, max_features=10) is None
+    assert not np.allclose(T.train(docs, labels, max_features=4000)[0], w)
 
 
-def test_risk_does_not_go_below_zero():
+def vectors_of(rnd, n, shift, size=40):
+    out = []
+    for _ in range(n):
+        f = np.unique(rnd.integers(0, size, 12)) + shift
+        out.append((f.astype(np.int32).tobytes(), rnd.random(len(f)).astype(np.float32).tobytes()))
+    return out
+
+
+def test_risk_against_dense_sums_and_finite_differences():
     rnd = np.random.default_rng(0)
+    toxic, free, prior = vectors_of(rnd, 30, 0), vectors_of(rnd, 50, 10), 0.3
+    used = np.arange(3, 45, dtype=np.int32)
+    p, u = T.Rows(toxic, used), T.Rows(free, used)
+
+    def dense(found):
+        x = np.zeros((len(found), 1 << 6))
+        for i, (f, v) in enumerate(found):
+            x[i, np.frombuffer(f, np.int32)] = np.frombuffer(v, np.float32)
+        return x[:, used]
+
+    def by_hand(w):
+        zp, zu = dense(toxic) @ w[:-1] + w[-1], dense(free) @ w[:-1] + w[-1]
+        loss = lambda z: np.log1p(np.exp(-z))
+        return prior * loss(zp).mean(), loss(-zu).mean() - prior * loss(-zp).mean()
+
+    w = rnd.normal(size=len(used) + 1)
+    positive, clean, of_positive, of_clean = T.risk(p, u, prior, w)
+    assert np.allclose((positive, clean), by_hand(w))
+    for i in range(len(w)):
+        step = np.zeros_like(w)
+        step[i] = 1e-5
+        slope = (np.array(by_hand(w + step)) - by_hand(w - step)) / 2e-5
+        assert np.allclose((of_positive[i], of_clean[i]), slope, atol=1e-6)
+
 
-    def rows(n, shift):
-        out = []
-        for _ in range(n):
-            f = rnd.integers(0, 40, 12) + shift
-            out.append((f.astype(np.int32).tobytes(), np.ones(12, np.float32).tobytes()))
-        return T.Rows(out)
-
-    positive, unlabelled = rows(60, 0), rows(80, 0)
-    prior = 0.6
-    w, b = T.fit(positive, unlabelled, prior, steps=400)
-    assert np.isfinite(w).all() and np.isfinite(b)
-    z = lambda s: rows_z(s, w, b)
-
-    def rows_z(s, w, b):
-        used = np.flatnonzero(w)
-        return np.bincount(s.row, w[used][s.feature] * s.value, s.n) + b if len(used) == s.feature.max() + 1 else np.full(s.n, b)
-
-    clean = np.logaddexp(0, z(unlabelled)).mean() - prior * np.logaddexp(0, z(positive)).mean()
-    assert clean > -0.1
+def test_risk_does_not_go_below_zero():
+    """Toxic and unlabelled rows of one kind and a prior that is too high: plain risk minimising would drive the clean part down."""
+    rnd = np.random.default_rng(0)
+    toxic, free, prior = vectors_of(rnd, 60, 0, 400), vectors_of(rnd, 80, 0, 400), 0.6
+    weights, bias = T.fit(toxic, free, prior, steps=400)
+    used = np.flatnonzero(weights).astype(np.int32)
+    _, clean, *_ = T.risk(T.Rows(toxic, used), T.Rows(free, used), prior, np.append(weights[used], bias))
+    assert np.isfinite(weights).all() and len(used) > 50 and clean > -0.1
 
 
 def test_scores_dont_depend_on_batches():
