@@ -1,13 +1,15 @@
 """WARC transaction assembly: request, response and metadata records joined through their concurrent-to identifiers.
 
-Records that name each other, directly or through others, belong to one capture. The links are a small graph of
-record ids whose components are found first; only then does each payload move, once, to its capture's row.
+Records that name each other, directly or through others, belong to one capture. Records that stand together in a file
+are joined while they are parsed, in groups; each record then bears its group's root. Ids that are named in several
+groups make a small graph of roots whose components are found from headers alone; only then are payloads parsed, and
+each moves once, to its capture's row.
 """
 
 from __future__ import annotations
 
 import gzip
-import re
+import io
 from collections.abc import Iterator
 from typing import BinaryIO
 
@@ -15,16 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import few, read, ship, written
+from .common import read, release, ship, small, stored
 from .components import components
 
 RECORD = "struct<record_id: string, type: string, target_uri: string, date: string, content_type: string, headers: array<struct<name: string, value: string>>, payload: binary>"
-RECORDS = "record_id string, concurrent_to array<string>, type string, target_uri string, date string, content_type string, headers array<struct<name: string, value: string>>, payload binary"
+RECORDS = "record_id string, concurrent_to array<string>, type string, target_uri string, date string, content_type string, headers array<struct<name: string, value: string>>, payload binary, root string"
 CAPTURES = f"capture_id string, target_uri string, requests array<{RECORD}>, responses array<{RECORD}>, metadata array<{RECORD}>, others array<{RECORD}>"
 
 #: How the types are grouped in a capture's row; any other type goes to others.
 GROUPS = {"request": "requests", "response": "responses", "metadata": "metadata"}
-#: Bytes of payload in one Arrow batch.
+#: Bytes of payload in one Arrow batch, and in a group of a file's records.
 BATCH_BYTES = 8 << 20
 _CHUNK = 1 << 16
 
@@ -109,7 +111,46 @@ def stream(file: BinaryIO) -> Iterator[tuple]:
 
 _NAMES = ["record_id", "concurrent_to", "type", "target_uri", "date", "content_type", "headers", "payload"]
 _PAIR = pa.struct([("name", pa.string()), ("value", pa.string())])
-_TYPES = [pa.string(), pa.list_(pa.string()), *[pa.string()] * 4, pa.list_(_PAIR), pa.binary()]
+_TYPES = [pa.string(), pa.list_(pa.string()), *[pa.string()] * 4, pa.list_(_PAIR), pa.binary(), pa.string()]
+
+
+def rooted(records: list[tuple]) -> Iterator[tuple]:
+    """Records of a group, each with its root: the lowest id of the responses that it is linked to, else the lowest id of the records.
+
+    A record without an id goes by the first that it names; if it names none its root is null.
+    """
+    over: dict[str, str] = {}
+
+    def find(x: str) -> str:
+        while (y := over.setdefault(x, x)) != x:
+            over[x] = x = over[y]
+        return x
+
+    own = [r[0] or next((t for t in r[1] if t), None) for r in records]
+    for key, r in zip(own, records):
+        for to in r[1]:
+            if key and to:
+                over[find(key)] = find(to)
+    lowest: dict[str, tuple[bool, str]] = {}
+    for key, r in zip(own, records):
+        if key:
+            at, rank = find(key), (r[2] != "response", key)
+            lowest[at] = min(lowest.get(at, rank), rank)
+    for key, r in zip(own, records):
+        yield (*r, lowest[find(key)][1] if key else None)
+
+
+def _grouped(records: Iterator[tuple]) -> Iterator[tuple]:
+    """Records of a file with their roots, in groups of about BATCH_BYTES; where a group ends depends on the file alone."""
+    group: list[tuple] = []
+    held = 0
+    for r in records:
+        group.append(r)
+        held += 512 + len(r[7] or b"")
+        if held >= BATCH_BYTES:
+            yield from rooted(group)
+            group, held = [], 0
+    yield from rooted(group)
 
 
 def _batched(records: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +160,7 @@ def _batched(records: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
     def made() -> pa.RecordBatch:
         cols = [list(c) for c in zip(*rows)]
         cols[6] = [[{"name": n, "value": v} for n, v in fields] for fields in cols[6]]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES)], _NAMES)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES)], [*_NAMES, "root"])
 
     for r in records:
         rows.append(r)
@@ -131,40 +172,59 @@ def _batched(records: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         yield made()
 
 
-def warc_records(blocks: DataFrame, column: str = "warc") -> DataFrame:
-    """The records of a binary column that holds WARC bytes: one row each, in RECORDS's columns.
+def warc_records(blocks: DataFrame, column: str = "warc", payloads: bool = True) -> DataFrame:
+    """The records of a binary column that holds WARC bytes: one row each, in RECORDS's columns; a value is a group.
 
-    A null or empty value has none. Bytes that are no WARC raise an error, which names the place.
+    A null or empty value has none. Bytes that are no WARC raise an error, which names the place. Without payloads
+    the payload is null.
     """
     ship(blocks.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _batched(r for b in batches for x in b.column(0) if x.is_valid for r in parse(x.as_py()))
+        every = (r for b in batches for x in b.column(0) if x.is_valid for r in rooted(list(parse(x.as_py()))))
+        yield from _batched(every if payloads else ((*r[:7], None, r[8]) for r in every))
 
     return blocks.select(F.col(column).cast("binary")).mapInArrow(run, RECORDS)
 
 
-def read_warc(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """The records of .warc and .warc.gz files in a folder that all executors see; each task streams its files."""
+def opened(uri: str) -> BinaryIO:
+    """A file of any file system that Arrow knows (local, HDFS, S3, GCS, Azure), as Spark names it; gzip is undone."""
+    from pyarrow import fs
+
+    scheme, _, rest = uri.partition(":")
+    if scheme in ("s3a", "s3n"):
+        uri = f"s3:{rest}"
+    if scheme == "file":  # Spark escapes what a URI can't hold, or writes one slash
+        from urllib.parse import unquote
+
+        uri = "/" + unquote(rest).lstrip("/")
+    files, path = (fs.LocalFileSystem(), uri) if uri.startswith("/") else fs.FileSystem.from_uri(uri)
+    raw = io.BufferedReader(files.open_input_stream(path, compression=None), 1 << 20)
+    return gzip.open(raw) if path.endswith(".gz") else raw  # type: ignore[return-value]
+
+
+def read_warc(spark: SparkSession, paths: str | list[str], payloads: bool = True) -> DataFrame:
+    """The records of .warc and .warc.gz files of a file system that all executors reach; each task streams its files.
+
+    Spark lists the files; one can't be split, as gzip members can't be found from within, so each is one task's.
+    """
     ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from urllib.parse import unquote, urlsplit
-
         def records() -> Iterator[tuple]:
             for b in batches:
                 for path in b.column(0).to_pylist():
-                    at = unquote(urlsplit(path).path) if re.match(r"file:", path) else path
-                    with gzip.open(at) if at.endswith(".gz") else open(at, "rb") as f:
-                        yield from stream(f)
+                    with opened(path) as f:
+                        yield from _grouped(stream(f))
 
-        yield from _batched(records())
+        every = records()
+        yield from _batched(every if payloads else ((*r[:7], None, r[8]) for r in every))
 
     files = spark.read.format("binaryFile").load(paths).select("path")
     return files.repartition(max(1, files.rdd.getNumPartitions()), "path").mapInArrow(run, RECORDS)
 
 
-def assemble(records: DataFrame) -> DataFrame:
+def assemble(records: DataFrame, headers: DataFrame | None = None) -> DataFrame:
     """One row (CAPTURES) for each capture of records.
 
     capture_id is the lowest id of its responses, or where there is none the lowest of its records; target_uri the
@@ -173,45 +233,40 @@ def assemble(records: DataFrame) -> DataFrame:
     isn't there still joins others that name it. A record without an id joins what it names; if it names nothing it
     is a capture of its own, with a null capture_id, as often as it stands there. An empty table gives an empty
     table; further columns of records are left out.
+
+    headers are the same records without payloads, where they cost less to read. Without a column root each record is
+    a group of its own. A capture is one row, so all its records are one task's in the end.
     """
-    spark = records.sparkSession
-    one = records.select([F.col(f"`{c}`") for c in _NAMES]).withColumn("key", F.coalesce("record_id", F.try_element_at("concurrent_to", F.lit(1))))
-    nodes = written(spark, one.where("key IS NOT NULL").select("key", "type", "concurrent_to"), "nodes")
-    links = nodes.select(F.col("key").alias("a"), F.explode("concurrent_to").alias("b")).where("b IS NOT NULL AND a <> b")
-    low = components(spark, links)
-    # the capture of every linked record: the lowest response of its component, else the component's lowest record
-    member = low.unionByName(low.select(F.col("root").alias("id"), "root").distinct())
-    there = nodes.groupBy("key").agg(F.max(F.col("type").eqNullSafe("response")).alias("answers"))
-    of = member.join(there, F.col("id") == F.col("key"), "left")
-    named = of.groupBy("root").agg(F.coalesce(F.min(F.when(F.col("answers"), F.col("id"))), F.min(F.when(F.col("key").isNotNull(), F.col("id"))), F.min("id")).alias("capture"))
-    moved = written(spark, of.join(named, "root").where("id <> capture").select("id", "capture", F.coalesce("answers", F.lit(False)).alias("answers")), "moved")
+    if headers is None:
+        headers = records
+    key = F.coalesce(F.nullif("record_id", F.lit("")), F.get(F.filter("concurrent_to", lambda x: (x != "")), F.lit(0)))
+    at = lambda df: F.col("root") if "root" in df.columns else key
+    answer = F.col("type").eqNullSafe("response")
+    named = F.transform(F.filter(F.coalesce("concurrent_to", F.array().cast("array<string>")), lambda x: x != ""), lambda x: F.struct(x.alias("id"), F.lit(False).alias("answers")))
+    own = F.array(F.struct(key.alias("id"), answer.alias("answers")))
+    seen = stored(headers.where(key.isNotNull()).select(at(headers).alias("root"), F.explode(F.concat(own, named)).alias("x")).select("root", "x.*"), "seen")
+    # an id in several groups links their roots; most ids are in one
+    both = stored(seen.groupBy("id").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select(F.col("id").alias("__of"), "low"), "both")
+    low = components(seen.join(small(both), F.col("id") == F.col("__of")).select(F.col("low").alias("a"), F.col("root").alias("b")))
+    member = low.select(F.col("id").alias("__in"), F.col("root").alias("__top")).unionByName(low.select(F.col("root").alias("__in"), F.col("root").alias("__top"))).distinct()
+    member = stored(member, "member")
+    answers = stored(seen.where("answers").join(small(member), F.col("root") == F.col("__in")).groupBy("__top").agg(F.min("id").alias("__answer")).withColumnRenamed("__top", "__top2"), "answers")
+    lowest = member.groupBy("__top").agg(F.min("__in").alias("__least"))
+    named_as = lowest.join(small(answers), F.col("__top") == F.col("__top2"), "left").select(F.col("__top").alias("__t"), F.coalesce("__answer", "__least").alias("__capture"))
+    moved = stored(member.join(named_as, F.col("__top") == F.col("__t")).where("__in <> __capture").select(F.col("__in").alias("__id"), "__capture"), "moved")
+    release(seen, both, low, member, answers)
 
     payload = F.struct(*[c for c in _NAMES if c != "concurrent_to"])
     kind = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k in GROUPS for x in (k, k)]), F.col("type")), F.lit("other"))
-    own = one.where("key IS NOT NULL").select("key", kind.alias("kind"), payload.alias("r"))
-    # a response is nearly always its own capture: only the few that aren't are looked up, so that large payloads move once
-    odd = moved.where("answers").select(F.col("id").alias("__id"), "capture")
-    light = own.where("kind <> 'response'").join(moved.select(F.col("id").alias("__id"), "capture"), F.col("key") == F.col("__id"), "left")
-    heavy = own.where("kind = 'response'")
-    if few(odd, 128):
-        heavy = heavy.withColumns({"__id": F.col("key"), "capture": F.lit(None).cast("string")}) if odd.isEmpty() else heavy.join(F.broadcast(odd), F.col("key") == F.col("__id"), "left")
-    else:
-        heavy = heavy.join(odd.hint("merge"), F.col("key") == F.col("__id"), "left")
-    rows = light.unionByName(heavy).select(F.coalesce("capture", "key").alias("capture_id"), "kind", "r")
-
-    def gathered(kind: str, name: str):
-        return F.array_sort(F.array_distinct(F.collect_list(F.when(F.col("kind") == kind, F.col("r"))))).alias(name)
-
-    def out(df: DataFrame) -> DataFrame:
-        lists = [*GROUPS.values(), "others"]
-        uris = F.flatten(F.array(*[F.transform(c, lambda r: r["target_uri"]) for c in lists]))
-        first = F.coalesce(F.array_min(F.transform("responses", lambda r: r["target_uri"])), F.array_min(uris))
-        return df.select("capture_id", first.alias("target_uri"), *lists)
-
-    whole = rows.groupBy("capture_id").agg(*[gathered(k, n) for k, n in (GROUPS | {"other": "others"}).items()])
-    none = F.array().cast(f"array<{RECORD}>")
-    alone = one.where("key IS NULL").select(F.lit(None).cast("string").alias("capture_id"), *[F.when(kind == k, F.array(payload)).otherwise(none).alias(n) for k, n in (GROUPS | {"other": "others"}).items()])
-    return out(whole).unionByName(out(alone))
+    lone = F.when(F.col("root").isNull(), F.monotonically_increasing_id())
+    rows = records.select(at(records).alias("root"), kind.alias("kind"), payload.alias("r"))
+    rows = rows.join(small(moved), F.col("root") == F.col("__id"), "left").select(F.coalesce("__capture", "root").alias("capture_id"), lone.alias("single"), "kind", "r")
+    lists = GROUPS | {"other": "others"}
+    gathered = [F.array_sort(F.array_distinct(F.collect_list(F.when(F.col("kind") == k, F.col("r"))))).alias(n) for k, n in lists.items()]
+    whole = rows.groupBy("capture_id", "single").agg(*gathered)
+    uris = F.flatten(F.array(*[F.transform(c, lambda r: r["target_uri"]) for c in lists.values()]))
+    first = F.coalesce(F.array_min(F.transform("responses", lambda r: r["target_uri"])), F.array_min(uris))
+    return whole.select("capture_id", first.alias("target_uri"), *lists.values())
 
 
 def page_id(kind: str):
@@ -243,4 +298,5 @@ def pages_as_warc(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataF
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as three records in WARC bytes, which are parsed and assembled again."""
-    return assemble(warc_records(pages_as_warc(read(spark, sf_dir, "pages"))))
+    blocks = pages_as_warc(read(spark, sf_dir, "pages"))
+    return assemble(warc_records(blocks), warc_records(blocks, payloads=False))

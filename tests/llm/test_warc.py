@@ -12,8 +12,10 @@ def row(rid, to=(), kind="response", uri="http://a/", body=b"x"):
     return (rid, list(to), kind, uri, "2024", "text/html", [("A", "b")], body)
 
 
-def frame(spark, rows):
-    return spark.createDataFrame(rows, W.RECORDS)
+def frame(spark, rows, group=1):
+    """Records, the root of each taken among group neighbours."""
+    rooted = [r for a in range(0, len(rows), group) for r in W.rooted([(x[0], x[1] or [], *x[2:]) for x in rows[a : a + group]])]
+    return spark.createDataFrame(rooted, W.RECORDS)
 
 
 def brute(rows):
@@ -60,15 +62,18 @@ def test_assembly_against_union_find(spark):
         to = [f"id{rnd.randrange(200):03d}" for _ in range(rnd.choice([0, 0, 1, 1, 2]))]
         rows.append(row(f"id{i:03d}", to, kind, body=str(i).encode()))
     rows += [rows[3], rows[3], row(None, ["id001"], "metadata"), row("lost1", ["gone"], "request"), row("lost2", ["gone"], "metadata")]
-    assert got(W.assemble(frame(spark, rows))) == expected(rows)
+    want = expected(rows)
+    for group in (1, 7, 1000):
+        assert got(W.assemble(frame(spark, rows, group))) == want
+    assert got(W.assemble(frame(spark, rows).drop("root"))) == want
 
 
-def test_many_responses_go_the_other_way(spark, monkeypatch):
-    rows = [row("a"), row("b", ["a"]), row("q", ["b"], "request")]
+def test_many_moved_records_are_shuffled(spark, monkeypatch):
+    rows = [row("a"), row("b", ["a"]), row("q", ["b"], "request"), row("z", ["y"], "metadata"), row("y", [], "request"), row("lost", ["gone"], "metadata"), row("a", [], "request")]
     want = expected(rows)
     assert got(W.assemble(frame(spark, rows))) == want
-    monkeypatch.setattr(W, "few", lambda *_: False)
-    assert got(W.assemble(frame(spark, rows))) == want and len(want) == 1
+    monkeypatch.setattr(W, "small", lambda df: df.hint("merge"))
+    assert got(W.assemble(frame(spark, rows))) == want and len(want) == 3
 
 
 def test_edges(spark):
@@ -76,7 +81,7 @@ def test_edges(spark):
     out = W.assemble(frame(spark, rows)).collect()
     assert sorted((r.capture_id or "-", len(r.responses), len(r.others)) for r in out) == [("-", 0, 1), ("-", 1, 0), ("-", 1, 0), ("x", 0, 1), ("y", 1, 0)]
     assert W.assemble(frame(spark, rows).where("false")).count() == 0
-    more = frame(spark, rows[-1:]).selectExpr("*", "1 AS capture", "2 AS kind", "3 AS key", "4 AS r")
+    more = frame(spark, rows[-1:]).selectExpr("*", "1 AS capture_id", "2 AS kind", "3 AS single", "4 AS r", "5 AS __id")
     assert W.assemble(more).count() == 1
 
 
@@ -102,6 +107,9 @@ def test_files(spark, tmp_path):
     want = sorted((r.record_id, bytes(r.payload)) for r in W.warc_records(W.pages_as_warc(df)).collect())
     assert sorted((r.record_id, bytes(r.payload)) for r in W.read_warc(spark, str(tmp_path)).collect()) == want and len(want) == 60
     assert len(list(W.parse(b"".join(map(gzip.compress, blocks))))) == 60
+    files = lambda payloads: W.read_warc(spark, f"file://{tmp_path}", payloads)
+    assert files(False).where("payload IS NOT NULL").count() == 0
+    assert got(W.assemble(files(True), files(False))) == got(W.assemble(W.warc_records(W.pages_as_warc(df))))
 
 
 @pytest.mark.parametrize("data", [b"junk", b"WARC/1.1\r\nContent-Length: 5\r\n\r\nabc", b"WARC/1.1\r\nX: y\r\n\r\n", b"WARC/1.1\r\nContent-Length: 1"])
