@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import rules
-from .text import json_part
+from .text import CODE_CHARS, compress, json_part
 
 VERDICT = "struct<has_value: int, param_keys: array<string>>"
 ADVISORY = "struct<path: string, method: string, params: string>"
@@ -112,10 +112,18 @@ def numbered(callers: Column, most: int = 3) -> Column:
     return F.array_join(F.transform(F.slice(callers, 1, most), lambda c, i: F.concat(F.lit("--- call "), (i + 1).cast("string"), F.lit(" ---\n"), c)), "\n\n")
 
 
+def _shown(wrapper: Column, callers: Column) -> tuple[Column, Column]:
+    """A wrapper and its first three callers as a model is shown them: compressed to half and to a sixth of CODE_CHARS."""
+    first = [F.coalesce(compress(F.get(callers, F.lit(i)), CODE_CHARS // 6), F.lit("")) for i in range(3)]
+    return compress(wrapper, CODE_CHARS // 2), numbered(F.slice(F.array(*first), F.lit(1), F.least(F.size(callers), F.lit(3))))
+
+
 def judge_prompt(api_path: Column, wrapper: Column, callers: Column) -> Column:
-    return F.concat(F.lit("API: "), api_path, F.lit("\n\n[function]\n"), wrapper, F.lit("\n\n[calls]\n"), numbered(callers))
+    code, calls = _shown(wrapper, callers)
+    return F.concat(F.lit("API: "), api_path, F.lit("\n\n[function]\n"), code, F.lit("\n\n[calls]\n"), calls)
 
 
 def advice_prompt(api_path: Column, wrapper: Column, callers: Column, keys: Column) -> Column:
     hint = F.when(F.size(keys) > 0, F.concat(F.lit("Parameter names seen: "), F.array_join(keys, ", "), F.lit("\n\n"))).otherwise("")
-    return F.concat(hint, F.lit("[function]\n"), wrapper, F.lit("\n\n[calls]\n"), numbered(callers), F.lit("\n\nAPI: "), api_path)
+    code, calls = _shown(wrapper, callers)
+    return F.concat(hint, F.lit("[function]\n"), code, F.lit("\n\n[calls]\n"), calls, F.lit("\n\nAPI: "), api_path)

@@ -120,18 +120,23 @@ def base_parts(base: Column) -> Column:
     return F.struct(scheme(base).alias("scheme"), at.alias("at"), F.regexp_replace(path(base), r"/+$", "").alias("own"), folder.alias("folder"), root_domain(base).alias("root"))
 
 
-def resolve(found: Column, base: Column, parts: Column | None = None) -> Column:
+def resolve(found: Column, base: Column, parts: Column | None = None, allowed: list[str] | Column | None = None) -> Column:
     """The URL that a found text means on the page base, or null where it means none; see resolutions."""
-    return F.try_element_at(resolutions(found, base, parts), F.lit(1))
+    return F.try_element_at(resolutions(found, base, parts, allowed), F.lit(1))
 
 
-def resolutions(found: Column, base: Column, parts: Column | None = None) -> Column:
+def prefixed(found: Column, base: Column) -> Column:
+    """A found text put behind its page's scheme and host, but for one that begins with http."""
+    return F.when(F.startswith(found, F.lit("http")), found).otherwise(F.concat(scheme(base), F.lit("://"), netloc(base), found))
+
+
+def resolutions(found: Column, base: Column, parts: Column | None = None, allowed: list[str] | Column | None = None) -> Column:
     """An array of the one URL that a found text means on the page base; empty where it means none.
 
     First match: a protocol-relative URL; a path from the root; a path with dots; an absolute URL; a text that looks
     like a host; a relative path; anything else as a query. Empty too where the text is a MIME type, short, has a
     space, or is of a scheme that fetches nothing, and where the result is off the page's root domain or looks like a
-    static file. parts is base_parts(base) if a column has it already.
+    static file. parts is base_parts(base) if a column has it already; allowed are root domains that count as the page's.
     """
     p = base_parts(base) if parts is None else parts
     u = F.trim(F.replace(found, F.lit("\\"), F.lit("/")))
@@ -148,17 +153,11 @@ def resolutions(found: Column, base: Column, parts: Column | None = None) -> Col
     )
     usable = ~found.isin(*rules.SKIPPED_TYPES) & (F.length(found) > 5) & ~F.contains(found, F.lit(" ")) & ~u.rlike(r"^(?:javascript|mailto|tel|data):")
     # one element that is transformed and filtered: the long expression is evaluated once, however often it is asked about
-    return F.filter(F.transform(F.array(F.when(usable, out)), collapse_slashes), lambda x: x.isNotNull() & _stays(x, p["root"]))
-
-
-def _stays(url: Column, root: Column) -> Column:
-    return root_domain(url).eqNullSafe(root) & ~rules.holds(F.lower(path(url)), rules.SKIPPED)
+    return F.filter(F.transform(F.array(F.when(usable, out)), collapse_slashes), lambda x: x.isNotNull() & _stays(x, p["root"], F.array(*map(F.lit, allowed)) if isinstance(allowed, list) else allowed))
 
 
-def check_url(base: Column, url: Column, allowed: list[str] | None = None) -> Column:
-    """Whether url is on base's root domain, or an allowed one, and nothing in its path looks like a static file."""
-    root = root_domain(url)
-    there = root.eqNullSafe(root_domain(base))
-    if allowed:
-        there = there | root.isin(*allowed)
+def _stays(url: Column, root: Column, allowed: Column | None = None) -> Column:
+    """Whether url is on the root domain, or an allowed one, and nothing in its path looks like a static file."""
+    own = root_domain(url)
+    there = own.eqNullSafe(root) if allowed is None else own.eqNullSafe(root) | F.coalesce(F.array_contains(allowed, own), F.lit(False))
     return there & ~rules.holds(F.lower(path(url)), rules.SKIPPED)

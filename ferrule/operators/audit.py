@@ -5,7 +5,7 @@ Model answers are input tables, joined by API path; the engine itself calls no m
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import extract, params, urls
@@ -52,22 +52,56 @@ def advised(found: DataFrame, answers: DataFrame) -> DataFrame:
     """Contexts with the advice that can be read in answers(api_path, answer), as findings.api_findings takes them."""
     a = keep_first(answers, ["api_path"], ["answer"]).select(F.col("api_path").alias("__path"), params.advisory(F.col("answer"), F.col("api_path")).alias("a"))
     rows = found.join(a, F.col("api_path") == F.col("__path")).where("a IS NOT NULL")
-    target = F.coalesce(urls.resolve(F.col("api_path"), F.col("js_url")), F.col("api_path"))
+    target = F.coalesce(urls.resolve(F.col("api_path"), F.col("js_url")), urls.prefixed(F.col("api_path"), F.col("js_url")))
     return rows.select("js_url", target.alias("api_endpoint"), "a.method", "a.path", "a.params", F.xxhash64("js_url", "api_path").alias("seq"))
 
 
+def probed(paths: DataFrame, probes: DataFrame, base: str | None = None, allowed: list[str] | None = None) -> DataFrame:
+    """paths(api_path, js_url) with full_url, their place on base (by default their own script), and its answer in probes.
+
+    A path that means no URL is put behind the script's scheme and host. Paths of fewer than four characters and
+    blacklisted ones are left out, and so is what was not probed. probes(url, status_code, response_content) has each URL once.
+    """
+    p = paths.withColumns({"api_path": F.trim("api_path"), "js_url": F.trim("js_url")})
+    p = p.where((F.length("api_path") >= 4) & ~extract.is_blacklisted(F.col("api_path")) & (F.col("js_url") != ""))
+    on = F.col("js_url") if base is None else F.lit(base)
+    full = F.trim(F.coalesce(urls.resolve(F.col("api_path"), on, None, allowed), urls.prefixed(F.col("api_path"), F.col("js_url"))))
+    answers = probes.select(F.trim("url").alias("__url"), "status_code", "response_content")
+    return p.withColumn("full_url", full).join(answers, F.col("full_url") == F.col("__url")).drop("__url")
+
+
+def qualified(answered: DataFrame) -> DataFrame:
+    """The distinct api_path of probed() whose answer is worth analysis: what candidates() takes as qualified."""
+    return answered.where(extract.quick_verdict(F.col("full_url"), F.col("status_code"), F.substring("response_content", 1, 600)) == "1").select("api_path").distinct()
+
+
+def funnel(judged_: DataFrame, advice: DataFrame) -> DataFrame:
+    """Paths that came to the last step, and those of them with advice that can be read."""
+    ok = advice.select(F.col("api_path").alias("__path")).distinct()
+    return judged_.select("api_path").distinct().join(ok, F.col("api_path") == F.col("__path"), "left").agg(F.count("*").alias("total"), F.count("__path").alias("success"))
+
+
+GRAM = 4
+
+
 def containing(literals: DataFrame, paths: DataFrame, literal: str = "literal", path: str = "api_path", rank: str = "rank") -> DataFrame:
     """Each literal with the path of lowest rank that it contains.
 
-    A containment join has no key of its own, so it gets one: every path starts with a gram of GRAM characters, and a
-    literal is joined by all of its grams before containment is tested. Paths shorter than a gram are padded by their
-    first characters on both sides.
+    A containment join has no key of its own, so it gets one: of the grams of a path that which fewest literals have
+    (any literal that contains the path has it too). A gram has GRAM characters; a shorter path is a gram itself.
+    Literals are looked at by their grams of just the lengths that paths have, and only by those that some path has.
     """
-    gram = 4
-    p = paths.where(F.length(path) > 0).select(F.col(path).alias("__path"), F.col(rank).alias("__rank"), F.substring(path, 1, gram).alias("__gram"))
-    text = F.col(literal)
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-    grams = F.flatten(F.transform(starts, lambda i: F.array(*[F.substr(text, i, F.lit(n)) for n in range(1, gram + 1)])))
-    keyed = literals.where(F.length(literal) > 0).distinct().select(literal, F.explode(F.array_distinct(grams)).alias("__gram"))
-    hits = keyed.join(p, "__gram").where(F.contains(literal, "__path"))
+
+    def grams(text: Column, sizes: Column) -> Column:
+        each = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substr(text, i, n))
+        return F.array_distinct(F.flatten(F.transform(sizes, each)))
+
+    p = paths.where(F.length(path) > 0).select(F.col(path).alias("__path"), F.col(rank).alias("__rank"))
+    own = p.select("__path", F.explode(grams(F.col("__path"), F.array(F.least(F.length("__path"), F.lit(GRAM))))).alias("__gram"))
+    sizes = own.agg(F.collect_set(F.length("__gram")).alias("__sizes"))  # at most GRAM numbers
+    found = literals.where(F.length(literal) > 0).select(literal).distinct().join(F.broadcast(sizes)).select(literal, F.explode(grams(F.col(literal), F.col("__sizes"))).alias("__gram"))
+    found = found.join(own.select(F.col("__gram").alias("__of")).distinct(), F.col("__gram") == F.col("__of"), "left_semi")
+    rare = own.join(found.groupBy(F.col("__gram").alias("__of")).agg(F.count("*").alias("__n")), F.col("__gram") == F.col("__of"), "left")
+    key = rare.groupBy("__path").agg(F.min_by("__gram", F.struct(F.coalesce("__n", F.lit(0)).alias("n"), "__gram")).alias("__gram"), F.min(F.coalesce("__n", F.lit(0))).alias("__n"))
+    hits = found.join(p.join(key.where("__n > 0"), "__path"), "__gram").where(F.contains(literal, "__path"))
     return hits.groupBy(literal).agg(F.min_by("__path", "__rank").alias(path))

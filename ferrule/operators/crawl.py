@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import extract, urls
 from ..shared import stored
+from .dedup import unseen
 
 
 def frontier(seeds: DataFrame, links: DataFrame, height: int = 2, node: str = "node", source: str = "source", target: str = "target") -> DataFrame:
@@ -42,9 +43,46 @@ def two_rounds(posted: DataFrame, got: DataFrame) -> DataFrame:
     return posted.where("status_code IS NULL OR status_code <> 405").unionByName(kept).unionByName(second)
 
 
-def probe_stats(posted: DataFrame) -> DataFrame:
-    """Totals of a two-round probe."""
-    return posted.agg(F.count("*").alias("total"), F.count_if(F.col("status_code") == 405).alias("post_then_get"), F.count_if(F.col("error").isNotNull()).alias("failed"), F.count_if(F.col("error").isNull() & ~F.col("status_code").eqNullSafe(405)).alias("post_only"))
+def probe_stats(posted: DataFrame, got: DataFrame) -> DataFrame:
+    """Totals of a two-round probe. Posts that failed count as URLs and requests only; every 405 is a further request."""
+    ok = F.col("error").isNull()
+    refused = ok & F.col("status_code").eqNullSafe(405)
+    first = posted.agg(F.count("*").alias("total_urls"), F.count_if(ok & ~refused).alias("post_only"), F.count_if(refused).alias("n405"), (F.count("*") + F.count_if(refused)).alias("total_requests"))
+    again = posted.where(refused).select(F.col("url").alias("__url")).distinct()
+    second = got.join(again, F.col("url") == F.col("__url"), "left_semi").agg(F.count("*").alias("post_then_get"))
+    return first.crossJoin(second)  # one row by one row
+
+
+def redirect_stats(fetched: DataFrame) -> DataFrame:
+    """How fetched(status, redirect_count, html) ended: pages with html in all, successes by their redirects (0, 1, more), errors."""
+    good = F.coalesce((F.col("status") >= 200) & (F.col("status") < 400), F.lit(False))
+    times = F.coalesce("redirect_count", F.lit(0))
+    return fetched.where(F.col("html") != "").agg(
+        F.count("*").alias("total"), F.count_if(good).alias("success"), F.count_if(~good).alias("error"),
+        F.count_if(good & (times == 0)).alias("redirect_0"), F.count_if(good & (times == 1)).alias("redirect_1"), F.count_if(good & ~times.isin(0, 1)).alias("redirect_loop"),
+    )
+
+
+def fan_out(urls_: DataFrame, dynamic: DataFrame, static: DataFrame, url: str = "url", seed: str = "is_seed") -> DataFrame:
+    """Recorded pages of a batch: those of dynamic URLs from one table, those of static ones from another; API paths are fetched from neither."""
+    kind = urls_.select(F.col(url).alias("__url"), urls.classify(F.col(url), F.col(seed)).alias("__class")).distinct()
+
+    def branch(table: DataFrame, name: str) -> DataFrame:
+        wanted = kind.where(F.col("__class") == name)
+        return table.join(wanted, F.col(url) == F.col("__url"), "left_semi").withColumn("fetched_as", F.lit(name))
+
+    return branch(dynamic, "dynamic").unionByName(branch(static, "static"))
+
+
+def secret_candidates(pages: DataFrame, seeds: list[str], url: str = "url", valid: str = "is_valid") -> DataFrame:
+    """Pages to be searched for secrets: valid ones and seeds, if .js stands anywhere in the URL (so .json passes)."""
+    return pages.where((F.col(valid).eqNullSafe(1) | F.col(url).isin(*seeds)) & F.contains(url, F.lit(".js")))
+
+
+def pending(tasks: DataFrame, done: DataFrame, url: str = "url") -> DataFrame:
+    """Distinct tasks that aren't among the done ones; blanks fall away. Spaces around a line don't count."""
+    line = F.trim(F.col(url)).alias(url)
+    return unseen(tasks.select(line).where(F.col(url) != "").distinct(), done.select(line), url)
 
 
 def admitted(pages: DataFrame, roots: list[str], url: str = "url", html: str = "html", status: str = "status") -> DataFrame:

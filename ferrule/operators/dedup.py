@@ -44,12 +44,14 @@ def distinct_titles(pages: DataFrame, url: str = "url", html: str = "html", orde
     title = F.lower(F.trim(extract.title(F.col(html))))
     marked = pages.withColumns({"__host": urls.netloc(F.col(url)), "__title": title, "__compared": extract.may_repeat(F.col(url), F.col(html), title)})
     first = marked.where("__compared").groupBy("__host", "__title").agg(F.min(order).alias("__first"))
-    kept = first.select(F.col("__first").alias(order))
-    return pages.join(kept, order, "left_semi").unionByName(marked.where("NOT __compared").select(*pages.columns))
+    kept = first.select("__first")
+    compared = marked.where("__compared").select(*pages.columns)
+    unnamed = compared.where(F.col(order).isNull())  # what has no place in the order is later than none
+    return compared.join(kept, F.col(order) == F.col("__first"), "left_semi").unionByName(unnamed).unionByName(marked.where("NOT __compared").select(*pages.columns))
 
 
 def unseen(df: DataFrame, state: DataFrame, key: str) -> DataFrame:
-    """The rows of df whose key isn't in state. Spark may add a Bloom filter of state at run time; the join is exact."""
+    """The rows of df whose key isn't in state; bloom.unseen does the same where most keys are new."""
     return df.join(state.select(F.col(key).alias("__seen")), F.col(key) == F.col("__seen"), "left_anti")
 
 

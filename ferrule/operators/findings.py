@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import params, rules, urls
+from ..functions import extract, params, rules, urls
 from .dedup import keep_first, keep_last, unseen
 
 
@@ -29,8 +29,22 @@ def api_findings(advice: DataFrame) -> DataFrame:
 
 
 def sensitive_findings(items: DataFrame) -> DataFrame:
-    """items with a value, the last for each script and value."""
-    return keep_last(items.where(rules.nonblank(F.col("sensitive_value"))), ["js_url", "sensitive_value"], ["seq"])
+    """items with a script and a value, the last for each of both. Arrays and maps are stored as JSON; a missing risk is Low, a missing type unknown."""
+    kept = keep_last(items.where(rules.nonblank(F.col("js_url")) & (F.col("sensitive_value") != "")), ["js_url", "sensitive_value"], ["seq"])
+    changed = {c: F.to_json(c) for c, kind in kept.dtypes if kind.startswith(("array", "map", "struct"))}
+    changed |= {c: F.coalesce(c, F.lit(default)) for c, default in (("risk_level", "Low"), ("secret_type", "unknown")) if c in kept.columns}
+    return kept.withColumns(changed) if changed else kept
+
+
+def source_maps(pages: DataFrame, existing: DataFrame | None = None, url: str = "url", html: str = "html", order: str = "seq") -> DataFrame:
+    """js_url, is_source_map and order of each script: whether it names a source map, the last for each script, after those of existing."""
+    new = pages.select(F.col(url).alias("js_url"), extract.has_source_map(F.col(html)).alias("is_source_map"), order)
+    return keep_last(new, ["js_url"], [order]) if existing is None else upsert(existing, new, ["js_url"], order)
+
+
+def exposure(flags: DataFrame) -> DataFrame:
+    """Scripts looked at, and those that expose a source map."""
+    return flags.agg(F.count("*").alias("scripts"), F.count_if(F.col("is_source_map") == "Y").alias("exposed"))
 
 
 def upsert(table: DataFrame, new: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
@@ -78,6 +92,38 @@ def linked_report(api: DataFrame, sensitive: DataFrame) -> DataFrame:
     return both.na.fill(0)
 
 
+def linked_items(api: DataFrame, sensitive: DataFrame, order: str = "seq") -> DataFrame:
+    """For each script its API and sensitive findings with their totals, newest first, and a summary of both.
+
+    A script's findings are one row, as a report shows them; findings of a script are few, however many scripts there are.
+    """
+
+    def side(df: DataFrame, name: str, tie: str) -> DataFrame:
+        rest = [c for c in df.columns if c != "js_url"]
+
+        def newer(a: Column, b: Column) -> Column:
+            first = F.struct(a[order].alias("o"), a[tie].alias("t")), F.struct(b[order].alias("o"), b[tie].alias("t"))
+            return F.when(first[0] > first[1], -1).when(first[0] < first[1], 1).otherwise(0)
+
+        items = F.array_sort(F.collect_list(F.struct(*rest)), newer)
+        return df.groupBy(F.col("js_url").alias(f"__{name}")).agg(F.struct(F.count("*").alias("total"), F.count_if(F.col("risk_level") == "High").alias("high_risk"), items.alias("items")).alias(name))
+
+    both = side(api, "ai_vulns", "api_endpoint").join(side(sensitive, "sensitive_info", "sensitive_value"), F.col("__ai_vulns") == F.col("__sensitive_info"), "full_outer")
+    count = lambda field: F.coalesce(F.col(f"ai_vulns.{field}"), F.lit(0)) + F.coalesce(F.col(f"sensitive_info.{field}"), F.lit(0))
+    summary = F.struct(count("total").alias("total_findings"), count("high_risk").alias("total_high_risk"))
+    return both.select(F.coalesce("__ai_vulns", "__sensitive_info").alias("js_url"), "ai_vulns", "sensitive_info", summary.alias("summary"))
+
+
+def one_of_endpoint(findings: DataFrame, endpoint: str) -> DataFrame:
+    """The first finding of an endpoint by script, none or one."""
+    return findings.where(F.col("api_endpoint") == endpoint).orderBy("js_url").limit(1)
+
+
+def decoded(findings: DataFrame, columns: list[str]) -> DataFrame:
+    """findings with stored JSON read as variants; what is no JSON stays a text."""
+    return findings.withColumns({c: params.json_or_text(F.col(c)) for c in columns})
+
+
 def where(findings: DataFrame, column: str | None = None, value: str | None = None, order: str = "created_at") -> DataFrame:
     """Findings, of one value of a column if it is given, the newest first, with id for equal times."""
     chosen = findings if column is None else findings.where(F.col(column) == value)

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import detect, extract, params, rules, text
+from ..functions import detect, extract, params, rules, text, urls
 from ..operators import audit, crawl, dedup, findings, secrets
-from ..shared import ship
 from ..streaming import alerts
 from . import sqltext as S
 from .common import Cases, q, query, read
-from .web import _LINKS
+from .web import _EDGES, _LINKS
 
 # detectors: over all texts of the tables, and over cases that the tables lack
 
@@ -61,6 +60,31 @@ def detect_all_union(spark, sf_dir):
     return detect.findings(_texts(spark, sf_dir), "id", "text")
 
 
+#: What the detectors find in the cases, derived by hand from the rules, not from the patterns.
+DETECT_FOUND = Cases(
+    "id bigint, detector string, value string",
+    [
+        (-1, "phone", "13800138000"), (-1, "phone", "13900139000"), (-1, "phone", "13900139001"),
+        (-2, "email", "bob@corp.io"), (-2, "email", "Eve@Sub.Corp.CN"),
+        (-3, "private_ip", "10.0.0.1"), (-3, "private_ip", "192.168.1.300"), (-3, "private_ip", "172.16.9.9"), (-3, "private_ip", "172.31.9.9"),
+        (-4, "jdbc", "jdbc:mysql://h:3306/db"), (-4, "jdbc", "jdbc:oracle:thin://h/x"),
+        (-5, "resident_id", "11010519491231002X"), (-5, "resident_id", "11010519491231002x"),
+        (-6, "private_key", "RSA Private Key Found"),
+        (-7, "password", "Potential Password: hunter22"), (-7, "password", "Potential Password: s3cr3t-é"),
+        (-8, "webhook", f"https://hooks.slack.com/services/{_A20}"), (-8, "webhook", f"https://open.feishu.cn/open-apis/bot/v2/hook/{_A20}"),
+        (-8, "webhook", f"https://oapi.dingtalk.com/robot/send?access_token={_A20}"), (-8, "webhook", f"https://qyapi.weixin.qq.com/cgi-bin/webhook/send?key={_A20}"),
+        (-8, "webhook", f"HTTPS://hooks.Slack.com/services/{_A20}"),
+        (-9, "debug_endpoint", "/v2/api-docs"), (-9, "debug_endpoint", "/x/actuator/env"), (-9, "debug_endpoint", "/Swagger-UI.html"),
+        (-10, "source_map", "SourceMap Found: app.js.map"),
+    ],
+)
+
+
+@query("detect_cases", f"SELECT id, detector, value FROM {DETECT_FOUND.sql()}")
+def detect_cases(spark, sf_dir):
+    return detect.findings(DETECT_CASES.frame(spark), "id", "text")
+
+
 @query("email_extract_raw", f"SELECT id, unnest(regexp_extract_all(text, {q(f'({detect.EMAIL})')}, 1)) AS email FROM ({_TEXTS})")
 def email_extract_raw(spark, sf_dir):
     return _texts(spark, sf_dir).select("id", F.explode(detect.emails_raw(F.col("text"))).alias("email"))
@@ -120,9 +144,16 @@ def probe_two_round(spark, sf_dir):
     return crawl.two_rounds(r.where("seq % 2 = 0"), r.where("seq % 2 = 1"))
 
 
-@query("probe_stats", f"SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (status_code = 405) AS BIGINT) AS post_then_get, CAST(count(*) FILTER (error IS NOT NULL) AS BIGINT) AS failed, CAST(count(*) FILTER (error IS NULL AND status_code <> 405) AS BIGINT) AS post_only FROM (SELECT *, CASE WHEN seq % 10 = 0 THEN 'timeout' END AS error FROM ({_RESPONSES}))")
+@query(
+    "probe_stats",
+    f"""WITH r AS ({_RESPONSES}), post AS (SELECT *, seq % 10 = 0 AS bad FROM r WHERE seq % 2 = 0), got AS (SELECT * FROM r WHERE seq % 2 = 1)
+    SELECT CAST(count(*) AS BIGINT) AS total_urls, CAST(count_if(NOT bad AND status_code <> 405) AS BIGINT) AS post_only, CAST(count_if(NOT bad AND status_code = 405) AS BIGINT) AS n405,
+    CAST(count(*) + count_if(NOT bad AND status_code = 405) AS BIGINT) AS total_requests,
+    (SELECT CAST(count(*) AS BIGINT) FROM got WHERE url IN (SELECT url FROM post WHERE NOT bad AND status_code = 405)) AS post_then_get FROM post""",
+)
 def probe_stats(spark, sf_dir):
-    return crawl.probe_stats(_responses(spark, sf_dir).withColumn("error", F.when(F.col("seq") % 10 == 0, "timeout")))
+    r = _responses(spark, sf_dir).withColumn("error", F.when(F.col("seq") % 10 == 0, "timeout"))
+    return crawl.probe_stats(r.where("seq % 2 = 0"), r.where("seq % 2 = 1"))
 
 
 @query("fetch_fallback")
@@ -140,10 +171,20 @@ def fetch_fallback_heads(spark, sf_dir):
     return fetch_fallback(spark, sf_dir).withColumn("source_code", F.left("source_code", F.lit(20)))
 
 
-@query("redirect_stats", "SELECT CAST(count(*) AS BIGINT) AS total, CAST(count_if(status_code IN (301, 302)) AS BIGINT) AS redirected, CAST(count_if(status_code = 200) AS BIGINT) AS success, CAST(count_if(status_code >= 400) AS BIGINT) AS errors FROM (" + _RESPONSES + ")")
+#: Each page as it was fetched: its status, how often it was sent on (null for not at all), some without a body.
+_FETCHED = f"SELECT CAST(list_extract({_STATUS}, CAST(page_id % {len(_STATUS)} AS INTEGER) + 1) AS INTEGER) AS status, CASE WHEN page_id % 4 < 3 THEN CAST(page_id % 4 AS INTEGER) END AS redirect_count, CASE WHEN page_id % 11 <> 0 THEN html ELSE '' END AS html FROM pages"
+
+
+@query(
+    "redirect_stats",
+    f"""SELECT CAST(count(*) AS BIGINT) AS total, CAST(count_if(status BETWEEN 200 AND 399) AS BIGINT) AS success, CAST(count_if(status NOT BETWEEN 200 AND 399) AS BIGINT) AS error,
+    CAST(count_if(status BETWEEN 200 AND 399 AND coalesce(redirect_count, 0) = 0) AS BIGINT) AS redirect_0, CAST(count_if(status BETWEEN 200 AND 399 AND redirect_count = 1) AS BIGINT) AS redirect_1,
+    CAST(count_if(status BETWEEN 200 AND 399 AND redirect_count > 1) AS BIGINT) AS redirect_loop FROM ({_FETCHED}) WHERE html <> ''""",
+)
 def redirect_stats(spark, sf_dir):
-    s = F.col("status_code")
-    return _responses(spark, sf_dir).agg(F.count("*").alias("total"), F.count_if(s.isin(301, 302)).alias("redirected"), F.count_if(s == 200).alias("success"), F.count_if(s >= 400).alias("errors"))
+    n = F.col("page_id")
+    fetched = read(spark, sf_dir, "pages").select(F.element_at(F.array(*map(F.lit, _STATUS)), (n % len(_STATUS) + 1).cast("int")).alias("status"), F.when(n % 4 < 3, (n % 4).cast("int")).alias("redirect_count"), F.when(n % 11 != 0, F.col("html")).otherwise("").alias("html"))
+    return crawl.redirect_stats(fetched)
 
 
 QUICK_CASES = Cases(
@@ -419,15 +460,18 @@ def audit_candidates(spark, sf_dir):
 
 @query("ast_api_context")
 def ast_api_context(spark, sf_dir):
-    """Pages' links as scripts that call them: a wrapper, a constant and two callers each."""
-    ship(spark)
-    links = read(spark, sf_dir, "pages").select("page_id", F.explode(extract.links(F.col("html"))).alias("link"))
-    one = links.where(extract.is_api_path(F.col("link"))).groupBy("page_id").agg(F.sort_array(F.collect_set("link")).alias("api_paths"))
+    """Every page that names API paths, its script elements as one script: wrapper code and callers of each path.
+
+    United with scripts made of the pages' links (a wrapper, a constant and two callers each), as few pages call any.
+    """
+    pages = read(spark, sf_dir, "pages").select("page_id", "html", F.explode(extract.links(F.col("html"))).alias("link"))
+    paths = pages.where(extract.is_api_path(F.col("link"))).select(F.concat(F.lit("page/"), F.col("page_id").cast("string")).alias("js_url"), F.col("link").alias("api_path"))
+    scripts = read(spark, sf_dir, "pages").select(F.concat(F.lit("page/"), F.col("page_id").cast("string")).alias("js_url"), F.array_join(F.regexp_extract_all("html", F.lit(r"(?is)<script[^>]*>(.*?)</script>"), F.lit(1)), "\n").alias("source"))
+    one = paths.groupBy("js_url").agg(F.sort_array(F.collect_set("api_path")).alias("api_paths"))
     body = F.array_join(F.transform("api_paths", lambda p, i: F.concat(F.lit("function f"), i.cast("string"), F.lit("(id){ return http.get(BASE + '"), p, F.lit("' + id); } function g"), i.cast("string"), F.lit("(){ f"), i.cast("string"), F.lit("(1); }\n"))), "")
-    scripts = one.select(F.concat(F.lit("js/"), F.col("page_id").cast("string")).alias("js_url"), F.concat(F.lit("const BASE = '/v1';\n"), body).alias("source"), "api_paths")
-    from ..functions.jscontext import api_contexts
-
-    return api_contexts(scripts)
+    made = one.select(F.concat(F.lit("made/"), F.col("js_url")).alias("js_url"), F.concat(F.lit("const BASE = '/v1';\n"), body).alias("source"))
+    made_paths = paths.withColumn("js_url", F.concat(F.lit("made/"), F.col("js_url")))
+    return audit.contexts(paths.unionByName(made_paths), scripts.unionByName(made))
 
 
 # alerts
@@ -445,6 +489,140 @@ def alert_rate_limit(spark, sf_dir):
     return alerts.limited(read(spark, sf_dir, "events"), "event_type")
 
 
-@query("model_cooldown", "SELECT user_id, CAST(least(30 * count(*), 600) AS BIGINT) AS seconds FROM events WHERE event_type = 'error' GROUP BY user_id")
+@query(
+    "model_cooldown",
+    """WITH e AS (SELECT user_id, ts, event_id, event_type <> 'error' AS ok FROM events), r AS (SELECT *, count_if(ok) OVER (PARTITION BY user_id ORDER BY ts, ok, event_id) AS run FROM e),
+    c AS (SELECT *, count_if(NOT ok) OVER (PARTITION BY user_id, run ORDER BY ts, ok, event_id) AS errors FROM r)
+    SELECT user_id, CAST(count(*) AS BIGINT) AS outcomes, CAST(max(errors) AS BIGINT) AS most_errors, CAST(sum(least(30 * errors, 600)) AS BIGINT) AS seconds FROM c GROUP BY user_id""",
+)
 def model_cooldown(spark, sf_dir):
-    return alerts.alert_worthy(read(spark, sf_dir, "events").withColumn("level", F.upper("event_type"))).groupBy("user_id").agg(alerts.cooldown(F.count("*")).alias("seconds"))
+    """Users as models, their events as outcomes: a success takes the count of errors back to none."""
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("model"), "ts", F.struct(F.col("event_type") != "error", "event_id").alias("at"), (F.col("event_type") != "error").alias("ok"))
+    states = alerts.model_states(e)
+    return states.groupBy(F.col("model").alias("user_id")).agg(F.count("*").alias("outcomes"), F.max("error_count").alias("most_errors"), F.sum("seconds").cast("bigint").alias("seconds"))
+
+
+OUTCOMES = Cases(
+    "model string, ts_s bigint, ok boolean, error_count bigint, seconds bigint, until_s bigint",
+    [("a", 10, False, 1, 30, 40), ("a", 20, False, 2, 60, 80), ("a", 30, True, 0, 0, None), ("a", 40, False, 1, 30, 70), ("b", 5, True, 0, 0, None)] + [("c", t, False, t, min(30 * t, 600), t + min(30 * t, 600)) for t in range(1, 24)],
+)
+
+
+@query("model_cooldown_cases", f"SELECT model, ts_s, error_count, seconds, until_s FROM {OUTCOMES.sql()}")
+def model_cooldown_cases(spark, sf_dir):
+    rows = OUTCOMES.frame(spark).select("model", "ts_s", F.timestamp_seconds("ts_s").alias("ts"), "ok")
+    return alerts.model_states(rows).select("model", "ts_s", F.col("error_count").cast("bigint"), F.col("seconds").cast("bigint"), F.unix_seconds("cooldown_until").alias("until_s"))
+
+
+# the funnel of the audit: probes, verdicts, advice
+
+#: Recorded answers of every URL that a link of an API path resolves to.
+_PROBE = "CAST(CASE WHEN length({u}) % 5 = 0 THEN 401 WHEN length({u}) % 5 = 1 THEN 404 ELSE 200 END AS INTEGER)"
+_SNIPPET = "CASE WHEN length({u}) % 3 = 0 THEN '<!DOCTYPE html>' WHEN length({u}) % 3 = 1 THEN 'Please login' ELSE '{{\"ok\":1}}' END"
+_PATHS = f"SELECT trim(link) AS api_path, url AS js_url, CASE WHEN target IS NOT NULL THEN target WHEN starts_with(trim(link), 'http') THEN trim(link) ELSE {S.scheme('url')} || '://' || {S.netloc('url')} || trim(link) END AS full_url FROM ({{edges}}) WHERE length(trim(link)) >= 4 AND NOT {S.blacklisted('trim(link)')}"
+
+
+def _probed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = read(spark, sf_dir, "pages").select(F.col("url").alias("js_url"), F.explode(extract.links(F.col("html"))).alias("api_path"))
+    full = F.coalesce(urls.resolve(F.col("api_path"), F.col("js_url")), urls.prefixed(F.col("api_path"), F.col("js_url")))
+    n = F.length("url")
+    probes = paths.select(full.alias("url")).distinct().where(n % 7 != 0)
+    probes = probes.select("url", F.when(n % 5 == 0, 401).when(n % 5 == 1, 404).otherwise(200).alias("status_code"), F.when(n % 3 == 0, "<!DOCTYPE html>").when(n % 3 == 1, "Please login").otherwise('{"ok":1}').alias("response_content"))
+    return audit.probed(paths, probes)
+
+
+_PROBED = f"SELECT api_path, js_url, full_url, {_PROBE.format(u='full_url')} AS status_code FROM ({_PATHS.format(edges=_EDGES)}) WHERE length(full_url) % 7 <> 0"
+
+
+@query("probe_join", _PROBED)
+def probe_join(spark, sf_dir):
+    return _probed(spark, sf_dir).select("api_path", "js_url", "full_url", "status_code")
+
+
+_ANSWERED = "status_code BETWEEN 200 AND 300"
+_QUALIFIED = f"WITH p AS MATERIALIZED ({_PROBED}) SELECT DISTINCT api_path FROM p WHERE status_code <> 401 AND NOT {S.ends(S.lower_cut('full_url'), rules.SKIPPED)} AND NOT ({_ANSWERED} AND length(full_url) % 3 < 2)"
+
+
+@query("probe_qualified", _QUALIFIED)
+def probe_qualified(spark, sf_dir):
+    return audit.qualified(_probed(spark, sf_dir))
+
+
+@query("audit_funnel", "WITH c AS (SELECT DISTINCT '/api/' || conv_id AS p FROM conversations), a AS (SELECT DISTINCT '/api/' || conv_id AS p FROM conversations WHERE turn % 2 = 1 AND conv_id % 3 = 0) SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(a.p) AS BIGINT) AS success FROM c LEFT JOIN a ON c.p = a.p")
+def audit_funnel(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations").withColumn("api_path", F.concat(F.lit("/api/"), F.col("conv_id").cast("string")))
+    return audit.funnel(c, c.where("turn % 2 = 1 AND conv_id % 3 = 0"))
+
+
+PREFIX_CASES = Cases("found string, base string, expected string", [("/v1/x", "https://a.com:8/b/c.js?q", "https://a.com:8/v1/x"), ("x/y", "http://a.com/b", "http://a.comx/y"), ("http://b.com/x", "https://a.com/", "http://b.com/x"), ("httpd", "https://a.com/", "httpd")])
+
+
+@query("url_prefix_cases", f"SELECT found, base, expected AS full_url FROM {PREFIX_CASES.sql()}")
+def url_prefix_cases(spark, sf_dir):
+    return PREFIX_CASES.frame(spark).select("found", "base", urls.prefixed(F.col("found"), F.col("base")).alias("full_url"))
+
+
+# what the reports and the read side give
+
+_ITEM = "api_endpoint || '|' || risk_level"
+
+
+@query(
+    "linked_report_items",
+    f"""WITH v AS (SELECT js_url, count(*) AS n, count_if(risk_level = 'High') AS h, string_agg({_ITEM}, chr(10) ORDER BY seq DESC, api_endpoint DESC) AS items FROM ({_VULNS}) GROUP BY js_url),
+    s AS (SELECT js_url, count(*) AS n, count_if(risk_level = 'High') AS h, string_agg(sensitive_value || '|' || risk_level, chr(10) ORDER BY seq DESC, sensitive_value DESC) AS items FROM ({_SENSITIVE}) GROUP BY js_url)
+    SELECT coalesce(v.js_url, s.js_url) AS js_url, v.items AS vuln_items, s.items AS sensitive_items, CAST(coalesce(v.n, 0) + coalesce(s.n, 0) AS BIGINT) AS total_findings, CAST(coalesce(v.h, 0) + coalesce(s.h, 0) AS BIGINT) AS total_high_risk FROM v FULL JOIN s ON v.js_url = s.js_url""",
+)
+def linked_report_items(spark, sf_dir):
+    r = findings.linked_items(_vulns(spark, sf_dir), _sensitive(spark, sf_dir))
+    lines = lambda items, name: F.array_join(F.transform(items, lambda x: F.concat(x[name], F.lit("|"), x["risk_level"])), "\n")
+    return r.select("js_url", lines(F.col("ai_vulns.items"), "api_endpoint").alias("vuln_items"), lines(F.col("sensitive_info.items"), "sensitive_value").alias("sensitive_items"), "summary.total_findings", "summary.total_high_risk")
+
+
+@query("vuln_by_endpoint", f"SELECT js_url, api_endpoint, risk_level FROM ({_VULNS}) WHERE api_endpoint = (SELECT min(api_endpoint) FROM ({_VULNS})) ORDER BY js_url LIMIT 1")
+def vuln_by_endpoint(spark, sf_dir):
+    v = _vulns(spark, sf_dir)
+    endpoint = v.agg(F.min("api_endpoint")).first()[0]
+    return findings.one_of_endpoint(v, endpoint).select("js_url", "api_endpoint", "risk_level")
+
+
+_JS = "'https://js.example.com/' || (page_id % 40) || '.js'"
+_MAP = "CASE WHEN page_id % 3 = 0 THEN 'Y' ELSE 'N' END"
+_FLAGS = f"SELECT js_url, arg_max(flag, seq) AS is_source_map, max(seq) AS seq FROM (SELECT {_JS} AS js_url, {_MAP} AS flag, page_id AS seq FROM pages) GROUP BY js_url"
+
+
+def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read(spark, sf_dir, "pages")
+    tail = F.when(F.col("page_id") % 3 == 0, F.lit("\n//# sourceMappingURL=a.js.map")).otherwise("")
+    p = p.select(F.concat(F.lit("https://js.example.com/"), (F.col("page_id") % 40).cast("string"), F.lit(".js")).alias("url"), F.concat("html", tail).alias("html"), F.col("page_id").alias("seq"))
+    return findings.source_maps(p, findings.source_maps(p.where("seq % 2 = 0")))
+
+
+@query("source_map_upsert", _FLAGS)
+def source_map_upsert(spark, sf_dir):
+    return _flags(spark, sf_dir)
+
+
+@query("source_map_exposure", f"SELECT CAST(count(*) AS BIGINT) AS scripts, CAST(count_if(is_source_map = 'Y') AS BIGINT) AS exposed FROM ({_FLAGS})")
+def source_map_exposure(spark, sf_dir):
+    return findings.exposure(_flags(spark, sf_dir))
+
+
+@query("sensitive_json", """SELECT conv_id, '[' || string_agg('"' || role || '"', ',' ORDER BY turn) || ']' AS caller_codes, 'unknown' AS secret_type FROM conversations GROUP BY conv_id""")
+def sensitive_json(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("caller_codes"))
+    items = c.select("conv_id", F.lit("https://a.com/x.js").alias("js_url"), F.col("conv_id").cast("string").alias("sensitive_value"), "caller_codes", F.lit(None).cast("string").alias("secret_type"), F.col("conv_id").alias("seq"))
+    return findings.sensitive_findings(items).select("conv_id", "caller_codes", "secret_type")
+
+
+@query("code_compress")
+def code_compress(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", text.compress(F.col("html")).alias("code"))
+
+
+@query("judge_prompts")
+def judge_prompts(spark, sf_dir):
+    """Each page as a wrapper, whose callers are a conversation's turns."""
+    callers = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("callers"))
+    both = read(spark, sf_dir, "pages").join(callers, F.col("page_id") == F.col("conv_id"), "left").withColumn("callers", F.coalesce("callers", F.array().cast("array<string>")))
+    return both.select("page_id", params.judge_prompt(F.col("url"), F.col("html"), F.col("callers")).alias("judge"), params.advice_prompt(F.col("url"), F.col("html"), F.col("callers"), F.array(F.lit("id"))).alias("advice"))

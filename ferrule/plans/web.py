@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import extract, rules, text, urls
-from ..operators import crawl, dedup, findings
+from ..operators import bloom, crawl, dedup, findings
 from ..sources import tables
 from . import sqltext as S
 from .common import Cases, q, query, read
@@ -42,7 +42,17 @@ LINK_CASES = Cases(
 )
 
 
-@query("link_extract_cases", f"SELECT id, unnest({S.links('source')}) AS link FROM {LINK_CASES.sql()}")
+#: What is a link in the cases, derived by hand from the rules.
+LINKS_FOUND = Cases(
+    "id int, link string",
+    [
+        (1, "https://api.example.com/v1?a=b"), (2, "//cdn.example.com/x.js"), (2, "./rel/path"), (2, "../up/path"), (2, "/root/path"),
+        (3, "static/app.js?v=1"), (3, "index.php"), (3, "main.html?x=1"), (3, "run/it.action"), (4, "/a b"), (5, "/api/x"),
+    ],
+)
+
+
+@query("link_extract_cases", f"SELECT id, link FROM {LINKS_FOUND.sql()}")
 def link_extract_cases(spark, sf_dir):
     return LINK_CASES.frame(spark).select("id", F.explode(extract.links(F.col("source"))).alias("link"))
 
@@ -185,6 +195,44 @@ def visited_anti_join(spark, sf_dir):
     return dedup.new_keys(found, found.where("page_id % 3 = 0").select("url"), "url")
 
 
+@query("visited_bloom", f"SELECT DISTINCT target AS url FROM ({_EDGES}) WHERE target IS NOT NULL AND target NOT IN (SELECT target FROM ({_EDGES}) WHERE target IS NOT NULL AND page_id % 3 = 0)")
+def visited_bloom(spark, sf_dir):
+    """visited_anti_join, but what the state's Bloom filter lacks takes no part in the join."""
+    found = read(spark, sf_dir, "pages").select("page_id", F.col("url").alias("source_url"), F.explode(extract.links(F.col("html"))).alias("link"))
+    found = found.select("page_id", urls.resolve(F.col("link"), F.col("source_url")).alias("url")).where("url IS NOT NULL")
+    return bloom.unseen(found.select("url").distinct(), found.where("page_id % 3 = 0").select("url"), "url", capacity=1_000_000)
+
+
+@query("pending_tasks", "SELECT DISTINCT url FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 4 = 0)")
+def pending_tasks(spark, sf_dir):
+    p = read(spark, sf_dir, "pages")
+    return crawl.pending(p.select(F.concat(F.lit(" "), "url").alias("url")), p.where("page_id % 4 = 0").select("url"))
+
+
+@query("secret_candidates", "SELECT page_id, url FROM (SELECT page_id, url || CASE WHEN page_id % 2 = 0 THEN '.json' ELSE '' END AS url, page_id % 3 AS is_valid FROM pages) WHERE is_valid = 1 AND contains(url, '.js')")
+def secret_candidates(spark, sf_dir):
+    p = read(spark, sf_dir, "pages").select("page_id", F.concat("url", F.when(F.col("page_id") % 2 == 0, ".json").otherwise("")).alias("url"), (F.col("page_id") % 3).alias("is_valid"))
+    return crawl.secret_candidates(p, ["https://seed.example.org/a.js"]).select("page_id", "url")
+
+
+@query("fan_out", f"SELECT page_id, {S.classify('url')} AS fetched_as FROM pages WHERE {S.classify('url')} <> 'api'")
+def fan_out(spark, sf_dir):
+    """Recorded pages of either fetcher stand in two tables; each URL's comes from that of its class."""
+    p = read(spark, sf_dir, "pages")
+    return crawl.fan_out(p.select("url", F.lit(False).alias("is_seed")), p, p).select("page_id", "fetched_as")
+
+
+ALLOWED_CASES = Cases(
+    "link string, expected string",
+    [("https://other.org/x", "https://other.org/x"), ("//cdn.other.org/y", "https://cdn.other.org/y"), ("https://third.org/x", None), ("https://other.org/x.png", None), ("/api/user/list", "https://www.example.com/api/user/list")],
+)
+
+
+@query("link_resolve_allowed_cases", f"SELECT link, expected AS target FROM {ALLOWED_CASES.sql()}")
+def link_resolve_allowed_cases(spark, sf_dir):
+    return ALLOWED_CASES.frame(spark).select("link", urls.resolve(F.col("link"), F.lit(SEED), None, ["other.org"]).alias("target"))
+
+
 @query("api_path_admission", f"SELECT page_id, link FROM ({_LINKS}) WHERE {S.api_path('link')}")
 def api_path_admission(spark, sf_dir):
     return link_extract(spark, sf_dir).where(extract.is_api_path(F.col("link")))

@@ -61,8 +61,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{folder(spark)}/ferrule-{name}-{uuid.uuid4().hex}"
     files, at = _at(spark, path)
+    files.mkdirs(at)  # what isn't there can't be marked
     files.deleteOnExit(at)
-    df.write.parquet(path)
+    df.write.mode("append").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._ferrule_path = path
     return out

@@ -69,6 +69,12 @@ def queue(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("url", F.regexp_extract("file", r"overflow_depth_([0-9]+)_[^/]*$", 1).try_cast("int").alias("depth"))
 
 
+def config(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A JSON configuration: an object or an array of objects a file. Read again for each run, so a change takes effect with the next."""
+    reader = spark.read.option("multiLine", "true")
+    return (reader.schema(schema) if schema else reader).json(path)
+
+
 def state(spark: SparkSession, path: str, key: str) -> DataFrame:
     """The keys in a state table; only that column is read."""
     return spark.read.parquet(path).select(key)

@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..shared import ship
+
 SECONDS, FORGOTTEN = 60, 3600
 LEVELS = ("CRITICAL", "ERROR")
 
@@ -17,20 +23,49 @@ def alert_worthy(df: DataFrame, level: str = "level") -> DataFrame:
     return df.where(F.col(level).isin(*LEVELS))
 
 
-def _fold(times: Column, seconds: int) -> Column:
-    """Of ascending times (microseconds) those that are sent: a time is sent if the last one sent is seconds back."""
-    empty = F.array().cast("array<bigint>")
-    return F.aggregate(times, empty, lambda sent, t: F.when((F.size(sent) == 0) | (t - F.element_at(sent, -1) >= seconds * 1_000_000), F.concat(sent, F.array(t))).otherwise(sent))
-
-
 def limited(events: DataFrame, key: str, ts: str = "ts", seconds: int = SECONDS) -> DataFrame:
     """key and ts of the events that are sent. An event that isn't sent doesn't put off the next.
 
-    One hour of a key is one array, in a pass over sorted times. The fold carries only the last time sent, so it
-    needs all of a key's times in order; they are eight bytes each. Null keys are a key, null times are left out.
+    A key's times come to one task in order and stream through it; it holds the last time sent and nothing else, so a
+    key may have any number of events. Null keys are a key, null times are left out.
     """
-    times = events.where(F.col(ts).isNotNull()).groupBy(key).agg(F.sort_array(F.collect_list(F.unix_micros(F.col(ts).cast("timestamp")))).alias("t"))
-    return times.select(key, F.explode(_fold(F.col("t"), seconds)).alias("t")).select(key, F.timestamp_micros("t").alias(ts))
+    ship(events.sparkSession)
+    kind = dict(events.dtypes)[key]
+    gap = seconds * 1_000_000
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[object, int] | None = None
+        for b in batches:
+            keys, times = b.column(0), b.column(1).to_numpy()
+            sent: list[int] = []
+            ends = pc.run_end_encode(keys).run_ends.to_numpy() if len(keys) else []
+            at = 0
+            for end in ends:
+                k = keys[at].as_py()
+                due = last[1] + gap if last is not None and last[0] == k else None
+                i = at if due is None else at + int(np.searchsorted(times[at:end], due))
+                while i < end:
+                    sent.append(i)
+                    last = (k, int(times[i]))
+                    i += int(np.searchsorted(times[i:end], times[i] + gap))
+                at = end
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(sent, pa.int64())), pa.array(times[sent])], [key, "t"])
+
+    rows = events.where(F.col(ts).isNotNull()).select(key, F.unix_micros(F.col(ts).cast("timestamp")).alias("t"))
+    out = rows.repartition(key).sortWithinPartitions(key, "t").mapInArrow(run, f"`{key}` {kind}, t bigint")
+    return out.select(key, F.timestamp_micros("t").alias(ts))
+
+
+def alert_sink(events: DataFrame, path: str, key: str, ts: str = "ts", level: str = "level", seconds: int = SECONDS) -> DataStreamWriter:
+    """A writer that sends a stream's alerts, at most one an interval for each key, to a Parquet table, a batch at a time.
+
+    A batch that is run again replaces what it wrote before. Delivery to a chat is a job that reads the table.
+    """
+
+    def send(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return limited_stream(alert_worthy(events, level), key, ts, seconds).writeStream.foreachBatch(send)
 
 
 def limited_stream(events: DataFrame, key: str, ts: str = "ts", seconds: int = SECONDS, lateness: str = "10 seconds") -> DataFrame:
@@ -67,6 +102,19 @@ def cooldown(errors: Column) -> Column:
     return F.least(30 * errors, F.lit(600))
 
 
+def model_states(outcomes: DataFrame, model: str = "model", ts: str = "ts", ok: str = "ok") -> DataFrame:
+    """outcomes with error_count (errors since the last success), seconds of rest and cooldown_until after each of them.
+
+    A success sets the count and the rest to none; the end of a rest leaves the count as it is. Outcomes are in the
+    order of ts, a success after an error of the same time.
+    """
+    order = Window.partitionBy(model).orderBy(ts, ok).rowsBetween(Window.unboundedPreceding, 0)
+    since = Window.partitionBy(model, "__run").orderBy(ts, ok).rowsBetween(Window.unboundedPreceding, 0)
+    counted = outcomes.withColumn("__run", F.count_if(F.col(ok)).over(order)).withColumn("error_count", F.count_if(~F.col(ok)).over(since))
+    rest = F.when(F.col("error_count") > 0, cooldown(F.col("error_count")))
+    return counted.drop("__run").withColumns({"seconds": F.coalesce(rest, F.lit(0)), "cooldown_until": F.when(rest.isNotNull(), F.timestamp_micros(F.unix_micros(F.col(ts).cast("timestamp")) + rest * 1_000_000))})
+
+
 def available(models: DataFrame, now: Column) -> DataFrame:
     """The first model in order that isn't resting; a rest that is over counts as available."""
     free = models.where(F.col("is_available") | (F.col("cooldown_until") <= now))
