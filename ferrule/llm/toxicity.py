@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -80,17 +81,18 @@ class Rows:
         """With used, an ascending list of features, only those, numbered by their places in it."""
         self.n = len(found)
         feature = np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(a, np.int32) for a, _ in found)])
+        row = np.repeat(np.arange(self.n, dtype=np.int32), [len(a) // 4 for a, _ in found])
         value = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(b, np.float32) for _, b in found)])
-        row = np.repeat(np.arange(self.n), [len(a) // 4 for a, _ in found])
         if used is not None:
-            at = np.searchsorted(used, feature)
+            at = np.searchsorted(used, feature).astype(np.int32)
             kept = used[np.minimum(at, len(used) - 1)] == feature if len(used) else np.zeros(len(at), bool)
             feature, value, row = at[kept], value[kept], row[kept]
-        self.feature, self.value = feature.astype(np.int32), value.astype(np.float64)
+            del at, kept
+        self.feature, self.value = feature, value
         self.filled, self.first = np.unique(row, return_index=True)
-        order = np.argsort(self.feature, kind="stable")
-        self.by_row, self.by_value = row[order].astype(np.int32), self.value[order]
-        self.present, self.begin = np.unique(self.feature[order], return_index=True)
+        order = np.argsort(feature, kind="stable").astype(np.int32)
+        self.by_row, self.by_value = row[order], value[order]
+        self.present, self.begin = np.unique(feature[order], return_index=True)
 
     def times(self, w: np.ndarray) -> np.ndarray:
         out = np.zeros(self.n)
@@ -131,7 +133,10 @@ def fit(toxic: list[tuple[bytes, bytes]], unlabelled: list[tuple[bytes, bytes]],
     for a, _ in [*toxic, *unlabelled]:
         seen[np.frombuffer(a, np.int32)] += 1  # a feature stands once in a row
     used = np.flatnonzero(seen >= MIN_ROWS).astype(np.int32)
-    p, u = Rows(toxic, used), Rows(unlabelled, used)
+    p = Rows(toxic, used)
+    del toxic
+    u = Rows(unlabelled, used)
+    del unlabelled  # the driver's memory is small
     w = np.zeros(len(used) + 1)  # the last is the bias
     w[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros_like(w), np.zeros_like(w)
@@ -188,14 +193,16 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_un
     before = Window.partitionBy("toxic").orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     fits = held.select("id", "toxic", F.sum("n").over(before).alias("sum")).where(F.col("sum") <= max_features // 2).select(F.col("id").alias("__id"), F.col("toxic").alias("__toxic"))
     both = held.join(F.broadcast(fits), (F.col("id") == F.col("__id")) & (F.col("toxic") == F.col("__toxic")), "left_semi")
-    table = both.select("id", "toxic", "features", "value").toArrow().sort_by([("toxic", "ascending"), ("id", "ascending")])
+    table = both.select("id", "toxic", "features", "value").toArrow()
     release(held)
-    sides: tuple[list, list] = ([], [])
-    for toxic, f, x in zip(table["toxic"].to_pylist(), table["features"].to_pylist(), table["value"].to_pylist()):
-        sides[toxic].append((f, x))
+    sides: list[list] = [[], []]
+    for i in pc.sort_indices(table.select(["toxic", "id"]), [("toxic", "ascending"), ("id", "ascending")]).to_pylist():
+        sides[table["toxic"][i].as_py()].append((table["features"][i].as_py(), table["value"][i].as_py()))
+    del table
+    pa.default_memory_pool().release_unused()
     if not sides[1] or not sides[0]:
         return None
-    return fit(sides[1], sides[0], prior)
+    return fit(sides.pop(), sides.pop(), prior)
 
 
 def _scorer(model: tuple[np.ndarray, float]):
