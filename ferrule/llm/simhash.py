@@ -8,14 +8,16 @@ PAIR_RADIUS, half of the 128 bits that unrelated ones are apart. A word or pair
 line that stands at the head and the foot of many texts doesn't make them alike. The sums are bit-sliced too:
 carry-save adders count each bit over a text's words in vertical counters.
 
-Fingerprints that agree in SAMPLED sampled bits of one of TABLES tables meet in a bucket. There the bits are stored as
-planes, 64 fingerprints to a word; one XOR a plane compares a fingerprint with 64 others and carry-save adders keep
-the 64 distances as vertical counters. A word whose 64 counters have all passed the radius is abandoned.
-
-SAMPLED and TABLES are the same at every size. They find a pair 14 bits apart with probability 0.998, one of 18 bits
-with 0.97, one at the radius with 0.87. A bucket of more than CELL fingerprints is cut into parts, at no loss: each
-part is compared in itself and with the bucket's pivots; what hangs on a pivot is linked through it, and only the rest
-is compared with all parts.
+All pairs are joined, at no loss. Fingerprints fall into q x q groups by hashes of their ids, and cells are the lines of
+the plane over the integers modulo the prime q: q groups each, q + 1 cells for each group, and any two groups share one.
+Within a cell a pair within the radius of 22 has at most 5 errors in one of three quarters of the bits or 4 in the last
+(23 = 6 + 6 + 6 + 5). The masks of a quarter are the words of a linear code of 6 (5) dimensions; as many equations as
+there are errors leave a word that is zero at all of them, so the pair agrees under that mask. Each mask sorts the cell's
+rows into buckets, in which only rows that no link joins yet are compared.
+
+Small cells, and all under a larger radius, are compared pair by pair: the bits are stored as planes, 64 fingerprints to
+a word; one XOR a plane compares a fingerprint with 64 others and carry-save adders keep the 64 distances as vertical
+counters. A word whose 64 counters have all passed the radius is abandoned.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read, release, ship, small, stored, without
@@ -33,15 +35,16 @@ from .textbytes import Words, mix, pieces
 
 BITS, RADIUS = 128, 22
 PAIR_BITS, PAIR_RADIUS = 256, 64
-SAMPLED, TABLES = 14, 28
-#: Fingerprints of a bucket that one task compares with each other; larger ones are cut. A bucket's size is estimated
-#: from one in SAMPLE of the ids, which decides only how it is cut, never what is found.
-CELL, SAMPLE, PIVOTS = 16384, 64, 32
+#: Fingerprints that one task joins, about, and the least q; they decide only how the work is cut, never what is found.
+CELL, SPREAD = 1 << 19, 5
+#: Fingerprints of a cell up to which all pairs are compared, and the radius beyond which codes don't fit a quarter.
+FEW, CODED = 2048, 23
+PIVOTS = 32
 #: Planes after which abandoned words are dropped.
 STOPS = (72, 88, 104)
 _LONG, _WEIGHT = 5, 20
 _SEGMENT, _BLOCK = 256, 1 << 16
-_CHUNK = 1 << 20
+_CHUNK, _PAIRS, _HELD = 1 << 20, 1 << 17, 1 << 22
 _ALL = np.uint64(2**64 - 1)
 
 
@@ -275,12 +278,77 @@ def stars(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np
     return node[root[other]], node[other]
 
 
-def key(table: int, bits: int = SAMPLED) -> Column:
-    """The bucket of a fingerprint in a table: a hash of its sampled bits."""
-    chosen = np.zeros(BITS, np.uint8)
-    chosen[np.random.default_rng(1000 + table).permutation(BITS)[:bits]] = 1
-    mask = np.packbits(chosen).view(np.int64)
-    return F.xxhash64(F.lit(table), *[F.col(c).bitwiseAND(F.lit(int(m))) for c, m in zip(PRINT, mask)])
+def masks(radius: int) -> Iterator[tuple[int, np.uint32]]:
+    """(quarter, mask) such that bits that differ in at most radius places agree under one of the masks of some quarter."""
+    for quarter in range(4):
+        k = (radius + 1 + quarter) // 4  # one more than the errors of this quarter
+        if k:
+            column = 1 << (k - 1) | np.arange(32) % (1 << (k - 1))
+            for word in range(1, 1 << k):
+                yield quarter, np.packbits(np.bitwise_count(column & word) & 1, bitorder="little").view(np.uint32)[0]
+
+
+def collapsed(n: int, low: list[np.ndarray], other: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """The roots of n rows under the pairs, and the pairs of roots with their other rows in the place of them."""
+    root = roots(n, np.concatenate(low), np.concatenate(other))
+    held = np.flatnonzero(root != np.arange(n))
+    return root, [root[held]], [held]
+
+
+def tied(prints: np.ndarray, radius: int = RADIUS, pair_radius: int = PAIR_RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows whose components are those of all pairs within both radii."""
+    n = len(prints)
+    bits = np.ascontiguousarray(prints[:, : BITS // 64]).view(np.uint64)
+    if n <= FEW or radius > CODED:
+        return confirmed(prints, *near(bits, None, radius), pair_radius)
+    place = np.arange(n)
+    low, other = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for count, (quarter, mask) in enumerate(masks(radius)):
+        if not count & (count - 1):  # rows in the order of their components, so that those of one stand together in a bucket
+            root, low, other = collapsed(n, low, other)
+            at = np.argsort(root, kind="stable")
+            own, ordered = root[at], bits[at]
+            words = np.ascontiguousarray(ordered.view(np.uint32).T)
+        keyed = np.sort((words[quarter] & mask).astype(np.uint64) << np.uint64(32) | place.astype(np.uint64))
+        row = (keyed & np.uint64(2**32 - 1)).astype(np.int64)
+        new = np.append(True, keyed[1:] >> np.uint64(32) != keyed[:-1] >> np.uint64(32))
+        of = own[row]
+        first = np.maximum.accumulate(np.where(new, place, 0))
+        before = np.maximum.accumulate(np.where(new | np.append(True, of[1:] != of[:-1]), place, 0)) - first
+        asked = np.flatnonzero(before)
+        each = before[asked]
+        ends = np.cumsum(each)
+        x, y = ordered[row].T.copy()
+        a = 0
+        while a < len(asked):  # rows with those of other components before them in the bucket
+            z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + _PAIRS, "right")))
+            c = each[a:z]
+            j = np.repeat(asked[a:z], c)
+            i = np.arange(len(j)) + np.repeat(first[asked[a:z]] - (np.cumsum(c) - c), c)
+            close = np.flatnonzero(np.bitwise_count(x[i] ^ x[j]) + np.bitwise_count(y[i] ^ y[j]) <= radius)
+            i, j = at[row[i[close]]], at[row[j[close]]]
+            free = root[i] != root[j]
+            i, j = confirmed(prints, i[free], j[free], pair_radius)
+            low.append(i)
+            other.append(j)
+            if sum(map(len, low)) > n + _HELD:  # a cluster's pairs grow with its square
+                root, low, other = collapsed(n, low, other)
+            a = z
+    return np.concatenate(low), np.concatenate(other)
+
+
+def _join(radius: int, pair_radius: int):
+    """Edges of the components of a task's rows; batches are (id, prints)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.stack([c.to_numpy() for c in b.columns], 1) for b in batches if b.num_rows]
+        if held:
+            rows = np.concatenate(held)
+            held.clear()
+            low, other = stars(rows[:, 0], *tied(rows[:, 1:], radius, pair_radius))
+            yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(other)], ["a", "b"])
+
+    return run
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -302,29 +370,6 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         yield np.concatenate(held)
 
 
-def _compare(radius: int, pair_radius: int):
-    """Edges of the components of each bucket; batches are (key, id, prints), in the order of key."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs(batches):
-            new = np.append(True, rows[1:, 0] != rows[:-1, 0])
-            size = np.diff(np.append(np.flatnonzero(new), len(rows)))
-            rows = rows[np.repeat(size > 1, size)]  # nothing is near one that is alone
-            starts = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0]))[: len(rows)]
-            ends = np.append(starts[1:], len(rows))
-            a = 0
-            while a < len(starts):  # whole buckets of about 4096 rows together
-                z = max(a + 1, int(np.searchsorted(ends, starts[a] + 4096, "right")))
-                part = rows[starts[a] : ends[z - 1]]
-                first = np.repeat(starts[a:z] - starts[a], (ends - starts)[a:z])
-                i, j = confirmed(part[:, 2:], *near(part[:, 2 : 2 + BITS // 64], first, radius), pair_radius)
-                low, other = stars(part[:, 1], i, j)
-                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(other)], ["a", "b"])
-                a = z
-
-    return run
-
-
 def _compare_parts(radius: int, pair_radius: int):
     """Edges within each part of a hot bucket, and with a null b the ids that hang on no pivot; batches are (cell, pivot, id, prints)."""
 
@@ -357,44 +402,25 @@ def _compare_asked(radius: int, pair_radius: int):
     return run
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, pair_radius: int = PAIR_RADIUS, sampled: int = SAMPLED, tables: int = TABLES) -> DataFrame:
-    """Edges (a, b) whose components are those of the near pairs that share a bucket; distinct(id, *PRINT) is a written table."""
-    keys = F.array(*[key(t, sampled) for t in range(tables)])
-    placed = distinct.select(F.explode(keys).alias("key"), "id", *PRINT)
-    counted = distinct.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SAMPLE)) == 0).select(F.explode(keys).alias("__key")).groupBy("__key").agg((F.count("*") * SAMPLE).alias("__n"))
-    hot = stored(counted.where(F.col("__n") > CELL), "hot")
-    if hot.isEmpty():
-        release(hot)
-        return placed.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(radius, pair_radius), "a bigint, b bigint")
-    sized = small(hot)
-    usual = placed.join(sized, F.col("key") == F.col("__key"), "left_anti")
-    edges = usual.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(radius, pair_radius), "a bigint, b bigint")
-
-    # hot buckets: the parts, each with all pivots
-    crowded = placed.join(sized, F.col("key") == F.col("__key"))
-    count = F.ceil(F.col("__n") / (CELL // 2)).cast("bigint")
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
-    in_parts = crowded.select("key", F.pmod(F.xxhash64("id", F.lit(2)), count).alias("part"), F.lit(0).cast("bigint").alias("role"), "id", *PRINT)
-    pivots = crowded.where(F.pmod(F.xxhash64("id", F.lit(3)), F.ceil(F.col("__n") / PIVOTS).cast("bigint")) == 0)
-    pivots = pivots.select("key", every(count).alias("part"), F.lit(1).cast("bigint").alias("role"), "id", *PRINT)
-    cells = in_parts.unionByName(pivots).select(F.xxhash64("key", "part").alias("cell"), "role", "id", *PRINT)
-    found = stored(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_compare_parts(radius, pair_radius), "a bigint, b bigint, cell bigint"), "parts")
-    edges = edges.unionByName(found.where("b IS NOT NULL").select("a", "b"))
-    free = found.where("b IS NULL").select(F.col("a").alias("__id"), F.col("cell").alias("__cell"))
-    if free.isEmpty():
-        return edges
-
-    # what hangs on no pivot is asked of all parts, in slices
-    at = F.xxhash64("key", F.pmod(F.xxhash64("id", F.lit(2)), count))
-    asked = stored(crowded.withColumns({"__at": at, "__parts": count}).join(free.distinct(), (F.col("id") == F.col("__id")) & (F.col("__at") == F.col("__cell"))).select("key", F.col("__parts").alias("parts"), "id", *PRINT), "asked")
-    slices = small(stored(asked.groupBy(F.col("key").alias("__of")).agg(F.ceil(F.count("*") / CELL).cast("bigint").alias("slices")), "slices"))
-    mine = asked.join(slices, F.col("key") == F.col("__of")).select("key", every(F.col("parts")).alias("part"), F.pmod(F.xxhash64("id", F.lit(4)), "slices").alias("slice"), F.lit(1).cast("bigint").alias("role"), "id", *PRINT)
-    theirs = in_parts.join(slices, F.col("key") == F.col("__of")).select("key", "part", every(F.col("slices")).alias("slice"), "role", "id", *PRINT)
-    cells = mine.unionByName(theirs).select(F.xxhash64("key", "part", "slice").alias("cell"), "role", "id", *PRINT)
-    return edges.unionByName(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_compare_asked(radius, pair_radius), "a bigint, b bigint"))
-
-
-def near_groups(docs: DataFrame, radius: int = RADIUS, pair_radius: int = PAIR_RADIUS, sampled: int = SAMPLED, tables: int = TABLES) -> DataFrame:
+def order(n: int) -> int:
+    """The least prime q such that a qth of n fingerprints is a cell."""
+    q = max(SPREAD, -(-n // CELL))
+    while any(q % d == 0 for d in range(2, int(q**0.5) + 1)):
+        q += 1
+    return q
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, pair_radius: int = PAIR_RADIUS) -> DataFrame:
+    """Edges (a, b) whose components are those of all near pairs; distinct(id, *PRINT) is a written table."""
+    q = order(distinct.count())
+    x, y = (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(q)).cast("int") for k in (1, 2))
+    slope = F.col("__slope")
+    line = F.when(slope < q, slope * q + F.pmod(y - slope * x, F.lit(q))).otherwise(q * q + x)
+    placed = distinct.select(F.explode(F.sequence(F.lit(0), F.lit(q))).alias("__slope"), "id", *PRINT).select(line.alias("__line"), "id", *PRINT)
+    return placed.repartitionById(q * q + q, F.col("__line")).select("id", *PRINT).mapInArrow(_join(radius, pair_radius), "a bigint, b bigint")
+
+
+def near_groups(docs: DataFrame, radius: int = RADIUS, pair_radius: int = PAIR_RADIUS) -> DataFrame:
     """(doc_id, keep_id) for each document that is a near copy, directly or through others, of one with a lower doc_id.
 
     keep_id is the lowest doc_id of the group. Documents with a null doc_id or without a word (null and empty texts
@@ -406,7 +432,7 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, pair_radius: int = PAIR_R
     texts = docs.where("doc_id IS NOT NULL AND text <> ''").select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     prints = stored(texts.mapInArrow(_fingerprint, f"doc_id bigint, {_LONGS}"), "prints")
     distinct = stored(prints.groupBy(*PRINT).agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("last")).select("id", "last", *PRINT), "distinct")
-    edges = links(distinct, radius, pair_radius, sampled, tables)
+    edges = links(distinct, radius, pair_radius)
     # a document may have several fingerprints; the lowest doc_id of each stands for it
     shared = stored(distinct.where("id <> last").select("id", *[F.col(c).alias(f"__{c}") for c in PRINT]), "shared")
     same = [F.col(c) == F.col(f"__{c}") for c in PRINT]

@@ -84,27 +84,45 @@ def frame(spark, f):
     return spark.createDataFrame([(i * 3, *map(int, p)) for i, p in enumerate(prints)], "id long, " + S._LONGS)
 
 
-def test_recall_of_the_buckets(spark):
-    """Many buckets, most of one fingerprint: pairs that meet are those near each other, 0.9 of all and more."""
+def test_every_near_pair_is_linked(spark):
+    """All components of all pairs within the radius, those at the radius itself among them."""
     f = clustered(4000, 7)
     want = brute(f)
-    keys = np.array(frame(spark, f).select(S.F.array(*[S.key(t) for t in range(S.TABLES)]).alias("k")).toPandas()["k"].tolist())
-    met = {(i, j) for i, j in want if (keys[i] == keys[j]).any()}
-    assert len(met) >= 0.9 * len(want) and len(np.unique(keys)) > 10_000
-    got = linked((r.a // 3, r.b // 3) for r in S.links(frame(spark, f).repartition(5)).collect())
-    assert got == linked(met)
+    assert linked((r.a // 3, r.b // 3) for r in S.links(frame(spark, f).repartition(5)).collect()) == linked(want)
+
+
+def test_masks_miss_no_pair(monkeypatch):
+    """Bits that differ in radius places agree under a mask; joined by masks, components are those of all pairs."""
+    rng = np.random.default_rng(10)
+    for radius in (0, 1, 2, 3, 7, 22, 23):
+        chosen = list(S.masks(radius))
+        for _ in range(300):
+            apart = np.zeros(128, np.uint8)
+            apart[rng.permutation(128)[:radius]] = 1
+            quarters = np.packbits(apart).view(np.uint32)
+            assert any(quarters[quarter] & mask == 0 for quarter, mask in chosen)
+    monkeypatch.setattr(S, "FEW", 0)
+    monkeypatch.setattr(S, "_PAIRS", 500)
+    monkeypatch.setattr(S, "_HELD", -1000)
+    for n, seed in ((0, 0), (1, 0), (2, 1), (65, 4), (1500, 5)):
+        f = clustered(n, seed) if n else np.zeros((0, 2), np.int64)
+        prints = np.concatenate([f, rng.integers(0, 2, (n, 4))], axis=1)
+        for radius, pair_radius in ((0, 4), (3, 4), (22, 4), (22, 1), (23, 4), (40, 4)):
+            i, j = np.array(sorted(brute(f, radius)), np.int64).reshape(-1, 2).T if n else np.zeros((2, 0), np.int64)
+            close = (prints[i, 2:] != prints[j, 2:]).sum(1) <= pair_radius
+            assert (S.roots(n, *S.tied(prints, radius, pair_radius)) == S.roots(n, i[close], j[close])).all()
 
 
 def test_a_hot_bucket_loses_nothing(spark, monkeypatch):
-    """Cut into parts, with pivots and without, the components are those of the whole bucket."""
+    """However the rows are cut into cells, and joined in them, the components are those of all pairs."""
     f = np.concatenate([clustered(900, 8), clustered(1, 9) ^ (np.int64(1) << np.random.default_rng(2).integers(0, 60, (400, 2)))])
-    df = frame(spark, f[np.random.default_rng(3).permutation(len(f))]).repartition(5)
-    whole = linked((r.a, r.b) for r in S.links(df, sampled=1, tables=2).collect())
-    monkeypatch.setattr(S, "SAMPLE", 1)
-    for cell, pivots in ((100, 32), (60, 1), (300, 8)):
+    f = f[np.random.default_rng(3).permutation(len(f))]
+    df = frame(spark, f).repartition(5)
+    whole = linked((3 * a, 3 * b) for a, b in brute(f))
+    for cell, few in ((100, 2048), (60, 0), (300, 50), (2000, 0)):
         monkeypatch.setattr(S, "CELL", cell)
-        monkeypatch.setattr(S, "PIVOTS", pivots)
-        assert linked((r.a, r.b) for r in S.links(df, sampled=1, tables=2).collect()) == whole
+        monkeypatch.setattr(S, "FEW", few)
+        assert linked((r.a, r.b) for r in S.links(df).collect()) == whole
 
 
 def test_scripts_without_spaces(spark):
@@ -160,8 +178,8 @@ def test_groups(spark, monkeypatch):
     assert {tuple(r) for r in S.near_groups(df).collect()} == answer
     kept = S.near_dedup(df)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(min(g) for g in want.values())
-    monkeypatch.setattr(S, "CELL", 2)  # most buckets are hot
-    monkeypatch.setattr(S, "SAMPLE", 1)
+    monkeypatch.setattr(S, "CELL", 10)  # many cells
+    monkeypatch.setattr(S, "FEW", 0)
     assert {tuple(r) for r in S.near_groups(df).collect()} == answer
 
 
