@@ -39,7 +39,6 @@ PAIR_BITS, PAIR_RADIUS = 256, 64
 CELL, SPREAD = 1 << 19, 5
 #: Fingerprints of a cell up to which all pairs are compared, and the radius beyond which codes don't fit a quarter.
 FEW, CODED = 2048, 23
-PIVOTS = 32
 #: Planes after which abandoned words are dropped.
 STOPS = (72, 88, 104)
 _LONG, _WEIGHT = 5, 20
@@ -351,57 +350,6 @@ def _join(radius: int, pair_radius: int):
     return run
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    """Rows of batches that are in the order of their first column, in tables that end where its value changes."""
-    held: list[np.ndarray] = []
-    for b in batches:
-        rows = np.stack([c.to_numpy() for c in b.columns], 1)
-        if not len(rows):
-            continue
-        cut = np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1
-        if held and rows[0, 0] != held[-1][-1, 0]:
-            cut = np.append(0, cut)
-        if len(cut):
-            yield np.concatenate([*held, rows[: cut[-1]]])
-            held = []
-            rows = rows[cut[-1] :]
-        held.append(rows)
-    if held:
-        yield np.concatenate(held)
-
-
-def _compare_parts(radius: int, pair_radius: int):
-    """Edges within each part of a hot bucket, and with a null b the ids that hang on no pivot; batches are (cell, pivot, id, prints)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _runs(batches):
-            for rows in np.split(table, np.flatnonzero(table[1:, 0] != table[:-1, 0]) + 1):
-                i, j = confirmed(rows[:, 3:], *near(rows[:, 3 : 3 + BITS // 64], None, radius), pair_radius)
-                node, of = np.unique(rows[:, 2], return_inverse=True)
-                root = roots(len(node), of[i], of[j])
-                held = np.zeros(len(node), bool)
-                held[root[of[rows[:, 1] == 1]]] = True
-                other, free = np.flatnonzero(root != np.arange(len(node))), np.flatnonzero(~held[root])
-                low = np.append(node[root[other]], node[free])
-                b = pa.array(np.append(node[other], np.zeros(len(free), np.int64)), mask=np.arange(len(low)) >= len(other))
-                yield pa.RecordBatch.from_arrays([pa.array(low), b, pa.array(np.full(len(low), rows[0, 0]))], ["a", "b", "cell"])
-
-    return run
-
-
-def _compare_asked(radius: int, pair_radius: int):
-    """Edges between the asked rows and all rows of a cell; batches are (cell, asked, id, prints)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _runs(batches):
-            for rows in np.split(table, np.flatnonzero(table[1:, 0] != table[:-1, 0]) + 1):
-                i, j = confirmed(rows[:, 3:], *near(rows[:, 3 : 3 + BITS // 64], None, radius, np.flatnonzero(rows[:, 1])), pair_radius)
-                low, other = stars(rows[:, 2], i, j)
-                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(other)], ["a", "b"])
-
-    return run
-
-
 def order(n: int) -> int:
     """The least prime q such that a qth of n fingerprints is a cell."""
     q = max(SPREAD, -(-n // CELL))

@@ -4,11 +4,13 @@ import os
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
 import corpus_pipeline as P
 from ferrule.llm import decontaminate as D
+from ferrule.llm import simhash as S
 from ferrule.llm import token_counts as C
 from ferrule.llm import toxicity as T
 
@@ -137,3 +139,27 @@ def test_empty_tables(spark, made, tmp_path):
             assert rows(stage(spark, some, folder)) == rows(some)
     assert os.listdir(folder)
     assert D.Q == 8
+
+
+def test_near_stage_links_every_pair(spark, made):
+    """Chains of edits at about the radius: what stays is the lowest of each component of all pairs of fingerprints."""
+    rnd = random.Random(8)
+    texts = []
+    for _ in range(25):
+        text = words(rnd, 150)
+        for _ in range(30):
+            for k in rnd.sample(range(150), 11):
+                text[k] = words(rnd, 1)[0]
+            texts.append(" ".join(text))
+    (_, _, data, offsets), *more = S.pieces(pa.array(texts))
+    _, f = S.fingerprints(data, offsets)
+    assert not more and len(f) == len(texts)
+    root = list(range(len(f)))
+    u = f.view("uint64")
+    for i in range(len(f)):
+        apart = np.bitwise_count(u ^ u[i])
+        for j in np.flatnonzero((apart[:, :2].sum(1) <= S.RADIUS) & (apart[:, 2:].sum(1) <= S.PAIR_RADIUS)):
+            a, b = root[i], root[j]
+            root = [min(a, b) if r in (a, b) else r for r in root]
+    docs = spark.createDataFrame([(i, t, None, "s", len(t), None, None) for i, t in enumerate(texts)], SCHEMA)
+    assert sorted(r.doc_id for r in dict(P.STAGES)["near_dedup"](spark, docs, made[0]).collect()) == sorted(set(root)) and len(set(root)) < len(f) / 2

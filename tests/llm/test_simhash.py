@@ -198,3 +198,32 @@ def test_edges(spark):
     assert [tuple(r) for r in S.near_groups(df).collect()] == [(5, 4)]
     assert sorted(map(str, S.near_dedup(df).collect())) == sorted(map(str, df.where("coalesce(doc_id, 0) <> 5").collect()))
     assert S.near_groups(df.where("false")).count() == 0 and S.near_dedup(df.where("false")).count() == 0
+
+
+def test_a_chain_in_one_bucket(spark, monkeypatch):
+    """A chain without chords, in ten bits that the former tables didn't sample: its links between parts of a hot bucket count,
+    also of rows that hang on different pivots."""
+    path = [0]
+
+    def grow():
+        if len(path) == 60:
+            return True
+        for bit in range(10):
+            at = path[-1] ^ 1 << bit
+            if all((at ^ p).bit_count() > 1 for p in path[:-1]) and at != path[-1]:
+                path.append(at)
+                if grow():
+                    return True
+                path.pop()
+        return False
+
+    assert grow()
+    bits = np.zeros((60, 128), np.uint8)
+    bits[:, [0, 4, 32, 66, 67, 110, 112, 113, 114, 115]] = np.array(path)[:, None] >> np.arange(10) & 1
+    f = np.packbits(bits, axis=1).view(np.int64)
+    assert len(brute(f, 1)) == 59
+    for name, value in (("CELL", 20), ("SAMPLE", 1), ("PIVOTS", 15)):  # the last two of the former code
+        monkeypatch.setattr(S, name, value, raising=False)
+    ids = np.random.default_rng(0).permutation(1000)[:60]
+    df = frame(spark, f).join(spark.createDataFrame([(3 * i, int(x)) for i, x in enumerate(ids)], "id long, new long"), "id").withColumn("id", S.F.col("new")).drop("new")
+    assert set(linked((r.a, r.b) for r in S.links(df, 1).collect()).values()) == {min(ids)} and S.links(df, 1).selectExpr("a AS x").union(S.links(df, 1).selectExpr("b")).distinct().count() == 60
