@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -93,6 +94,11 @@ def minify(code: Column) -> Column:
 
 
 _HEAD = re.compile(r"function\s+\w+|\w+\s*[:=]\s*(?:async\s+)?function")
+#: _HEAD for Java, with Python's words and spaces. What it passes it doesn't read again: a name's end can't begin a match that the whole name doesn't, unless the last match ended there.
+_WORD, _BLANK = r"[\p{L}\p{N}_]", r"[\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_HEAD_JVM = rf"function{_BLANK}++{_WORD}++|(?:\G|(?<!{_WORD})){_WORD}++{_BLANK}*+[:=]{_BLANK}*+(?:async{_BLANK}++)?function"
+#: Set before each head; a text's own are other characters meanwhile, which no pattern knows either.
+_MARK, _NO_MARK = "\0", "\1"
 
 
 def truncated(code: str, limit: int) -> str:
@@ -113,14 +119,35 @@ def truncated(code: str, limit: int) -> str:
     return (kept + CUT_KEPT if len(kept) < len(code) else kept)[: limit + 100]
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def structural_truncate(code: Column, limit: int) -> Column:
-    """truncated() for each row: a fold over matches, which no built-in expresses. Short texts don't go to Python's loop."""
+    """truncated() as a fold over the parts that heads begin, in built-ins: a text goes to no worker, and none waits in a batch.
+
+    What is kept ends with the last part taken, or at limit if that lies further on. Letters are those of the JVM's Unicode.
+    """
+
+    def step(s: Column, part: Column) -> Column:
+        at, headed, end = s["at"] + F.length(part), s["n"] > 0, s["end"]  # before the first head there is no part to keep
+        fits = end + F.length(part) <= F.lit(limit * 0.8)
+        protected = reduce(lambda a, b: a | b, (F.contains(part, F.lit(w)) for w in PROTECTED))
+        taken = headed & s["open"] & fits & protected
+        return F.struct((s["n"] + 1).alias("n"), at.alias("at"), F.when(taken, at).otherwise(end).alias("end"), (~headed | (s["open"] & (fits | ~protected))).alias("open"))
+
+    def cut(c: Column) -> Column:
+        parts = F.split(F.regexp_replace(F.replace(c, F.lit(_MARK), F.lit(_NO_MARK)), _HEAD_JVM, _MARK + "$0"), _MARK, -1)
+        start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("at"), F.lit(0).alias("end"), F.lit(True).alias("open"))
+
+        def kept(s: Column) -> Column:
+            end = F.greatest(s["end"], F.lit(limit))
+            return F.substring(F.concat(F.substring(c, F.lit(1), end), F.when(end < F.length(c), CUT_KEPT).otherwise("")), 1, limit + 100)
 
-    @F.pandas_udf("string")
-    def cut(codes: pd.Series) -> pd.Series:
-        return codes.map(lambda c: None if c is None else truncated(c, limit))
+        return F.aggregate(parts, start, step, lambda s: F.when(s["n"] > 1, kept(s)).otherwise(F.concat(F.substring(c, 1, limit), F.lit(CUT))))
 
-    return cut(code)
+    return _let(code, lambda c: F.when(F.length(c) > limit, cut(c)).otherwise(c))
 
 
 def compress(code: Column, limit: int = CODE_CHARS) -> Column:
