@@ -94,8 +94,19 @@ def minify(code: Column) -> Column:
 
 
 _HEAD = re.compile(r"function\s+\w+|\w+\s*[:=]\s*(?:async\s+)?function")
+#: Letters and numbers that Unicode took in after its version 13, up to 15.1: Python's words have them, those of Java 17 don't.
+_NEW = (
+    "870-887 889-88e 8b5 8c8-8c9 c5d cdd 170d 171f 1b4c 2c2f 2c5f 9ffd-9fff a7c0-a7c1 a7d0-a7d1 a7d3 a7d5-a7d9 "
+    "a7f2-a7f4 10570-1057a 1057c-1058a 1058c-10592 10594-10595 10597-105a1 105a3-105b1 105b3-105b9 105bb-105bc "
+    "10780-10785 10787-107b0 107b2-107ba 10f70-10f81 11071-11072 11075 1123f-11240 11740-11746 11ab0-11abf 11f02 "
+    "11f04-11f10 11f12-11f33 11f50-11f59 12f90-12ff0 1342f 13441-13446 16a70-16abe 16ac0-16ac9 1aff0-1aff3 "
+    "1aff5-1affb 1affd-1affe 1b11f-1b122 1b132 1b155 1d2c0-1d2d3 1df00-1df1e 1df25-1df2a 1e030-1e06d 1e290-1e2ad "
+    "1e4d0-1e4eb 1e4f0-1e4f9 1e7e0-1e7e6 1e7e8-1e7eb 1e7ed-1e7ee 1e7f0-1e7fe 2a6de-2a6df 2b735-2b739 2ebf0-2ee5d "
+    "31350-323af"
+)
 #: _HEAD for Java, with Python's words and spaces. What it passes it doesn't read again: a name's end can't begin a match that the whole name doesn't, unless the last match ended there.
-_WORD, _BLANK = r"[\p{L}\p{N}_]", r"[\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_WORD = r"[\p{L}\p{N}_[\p{Cn}&&[%s]]]" % re.sub(r"[\da-f]+", r"\\x{\g<0>}", _NEW).replace(" ", "")
+_BLANK = r"[\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _HEAD_JVM = rf"function{_BLANK}++{_WORD}++|(?:\G|(?<!{_WORD})){_WORD}++{_BLANK}*+[:=]{_BLANK}*+(?:async{_BLANK}++)?function"
 #: Set before each head; a text's own are other characters meanwhile, which no pattern knows either.
 _MARK, _NO_MARK = "\0", "\1"
@@ -127,7 +138,7 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 def structural_truncate(code: Column, limit: int) -> Column:
     """truncated() as a fold over the parts that heads begin, in built-ins: a text goes to no worker, and none waits in a batch.
 
-    What is kept ends with the last part taken, or at limit if that lies further on. Letters are those of the JVM's Unicode.
+    What is kept ends with the last part taken, or at limit if that lies further on.
     """
 
     def step(s: Column, part: Column) -> Column:
